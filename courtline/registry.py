@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from courtline.oracle import COACH_TEAM
-from courtline.plans import schedule
+from courtline.operators import quality
+from courtline.plans import schedule, stints
 from courtline.sources.adapters import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,26 @@ def _tg(fn):
     return run
 
 
+def _lu(fn):
+    """Run ``fn(tables)`` on the lineup views (lineup, its games, teams, players)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(Tables(spark, sf_dir))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _intervals(t: Tables) -> DataFrame:
+    return stints.stint_intervals(t.lineup(), t.lineup_games(), t.team(), t.player())
+
+
+def _durations(t: Tables) -> DataFrame:
+    return stints.stint_durations(_intervals(t))
+
+
+def _summary(t: Tables) -> DataFrame:
+    return stints.win_loss_summary(_durations(t), t.team(), t.lineup_games())
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "team_standings": _tg(schedule.team_standings),
@@ -39,4 +60,19 @@ def queries() -> dict[str, QueryFn]:
         "team_records": _tg(schedule.team_records),
         "schedule_difficulty": _tg(schedule.schedule_difficulty),
         "opponent_difficulty": _tg(lambda t, g: schedule.opponent_difficulty(t, g, COACH_TEAM)),
+        "lineup_wide": _lu(lambda t: stints.lineup_wide(t.lineup5(), t.part_player())),
+        "opponent_key_join": _lu(lambda t: stints.opponent_key_join(t.lineup(), t.lineup_games(), t.team())),
+        "stint_intervals": _lu(_intervals),
+        "stint_results": _lu(lambda t: stints.stint_results(_intervals(t))),
+        "stint_durations": _lu(_durations),
+        "stint_averages": _lu(lambda t: stints.stint_averages(_durations(t))),
+        "win_loss_summary": _lu(_summary),
+        "team_list": _lu(lambda t: stints.team_list(_summary(t))),
+        "stint_summary_all": _lu(lambda t: stints.stint_summary(_summary(t))),
+        "stint_summary_team": _lu(lambda t: stints.stint_summary(_summary(t), COACH_TEAM)),
+        "scatter_points": _lu(lambda t: stints.scatter_points(_summary(t))),
+        "key_violations": _lu(lambda t: quality.key_violations(
+            t.raw("lineitem"), ["l_orderkey", "l_linenumber"])),
+        "distinct_rows": _lu(lambda t: quality.distinct_rows(
+            t.raw("lineitem"), ["l_orderkey", "l_partkey"])),
     }
