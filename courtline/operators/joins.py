@@ -11,15 +11,31 @@ from pyspark.sql import functions as F
 # broadcast from measured shuffle sizes and to split skewed partitions.
 MAX_BROADCAST_ROWS = 2_000_000
 
+# Row counts of source file sets, per session: counting a Parquet table reads
+# only its footers, and one count serves every projection of the table.
+_SOURCE_ROWS: dict[tuple, int] = {}
+
+
+def source_rows(df: DataFrame) -> int:
+    """Rows of the files ``df`` reads: an upper bound on the rows of ``df``
+    when ``df`` is a projection, filter or aggregate of one table."""
+    files = tuple(sorted(df.inputFiles()))
+    if not files:
+        return df.count()
+    key = (id(df.sparkSession), files)
+    if key not in _SOURCE_ROWS:
+        _SOURCE_ROWS[key] = df.sparkSession.read.parquet(*files).count()
+    return _SOURCE_ROWS[key]
+
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None,
                        max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+    """``F.broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows, else ``df``.
 
-    ``rows`` may be passed when the count is already known; otherwise it is
-    counted (a metadata-only job for a projected Parquet table).
+    ``df`` must not multiply rows (no join or explode): the bound used is the
+    row count of its source files, unless ``rows`` is given.
     """
-    n = df.count() if rows is None else rows
+    n = source_rows(df) if rows is None else rows
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -58,9 +58,22 @@ def global_rank(df: DataFrame, col: str, out: str, descending: bool = True,
 
     NULLs rank first for descending order and last for ascending order.
     """
-    ranks = rank_table(df, col, "__rank", descending, partitions).withColumnRenamed(col, "__v")
-    return (df.join(ranks, df[col].eqNullSafe(ranks["__v"]), "left")
-              .drop("__v").withColumnRenamed("__rank", out))
+    return global_ranks(df, [(col, out)], descending, partitions)
+
+
+def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool = True,
+                 partitions: int | None = None) -> DataFrame:
+    """Several independent global ranks of one frame: ``specs`` = [(col, out), ...].
+
+    Every rank table is derived from the same ``df`` (so its scan and shuffle
+    are shared), then joined back on the value, NULL-safe.
+    """
+    result = df
+    for i, (col, out) in enumerate(specs):
+        key = f"__v{i}"
+        ranks = rank_table(df, col, out, descending, partitions).withColumnRenamed(col, key)
+        result = result.join(ranks, result[col].eqNullSafe(ranks[key]), "left").drop(key)
+    return result
 
 
 def top_k(df: DataFrame, k: int, by: list[Column]) -> DataFrame:

@@ -11,6 +11,7 @@ sums are cast to BIGINT, NULL placement is written out in every ORDER BY.
 
 from __future__ import annotations
 
+from courtline.sources import adapters
 from courtline.sources.adapters import with_views
 
 COACH_TEAM = "Supplier#000000003"  # the coach view's team in the registered query
@@ -370,6 +371,16 @@ HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL""",
     }
 
 
+def model_statements() -> dict[str, str]:
+    """The statements over model tables (team, game_schedule, player, lineup,
+    lineup_games, lineup5, part_player) registered directly, without adapters."""
+    adapters.USE_ADAPTERS = False
+    try:
+        return oracle_statements()
+    finally:
+        adapters.USE_ADAPTERS = True
+
+
 def oracle_statements() -> dict[str, str]:
     return {
         "team_standings": _standings(),

@@ -15,7 +15,7 @@ from courtline.functions.scalars import (
     COACH_LEVELS, SCOUT_LEVELS, colour_bucket, event_title, iso_timestamp, round_ratio)
 from courtline.operators import density
 from courtline.operators.joins import broadcast_if_small, join_role
-from courtline.operators.ranking import global_rank, top_k
+from courtline.operators.ranking import global_ranks, top_k
 from courtline.operators.roles import explode_roles, explode_teams
 
 
@@ -67,9 +67,9 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
                          F.coalesce(F.col("losses").cast("long"), zero).alias("losses"),
                          F.coalesce("home_games", zero).alias("home_games"),
                          F.coalesce("away_games", zero).alias("away_games")))
-    ranked = global_rank(stats, "games_played", "rank_games_played")
-    ranked = global_rank(ranked, "home_games", "rank_home_games")
-    ranked = global_rank(ranked, "away_games", "rank_away_games")
+    ranked = global_ranks(stats, [("games_played", "rank_games_played"),
+                                  ("home_games", "rank_home_games"),
+                                  ("away_games", "rank_away_games")])
     return ranked.select(
         "teamid", "teamname", "games_played", "rank_games_played", "wins", "losses",
         F.when(F.col("games_played") > 0, round_ratio("wins", "games_played")).alias("win_percentage"),

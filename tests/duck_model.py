@@ -1,0 +1,40 @@
+"""Run the plain-form oracle statements over small model tables in DuckDB."""
+
+from __future__ import annotations
+
+import duckdb
+
+from compare import rows_of  # noqa: E402
+from courtline.oracle import model_statements
+
+# Column types for DuckDB so NULL-only columns keep their type.
+DUCK_TYPES = {
+    "team": "teamid BIGINT, teamname VARCHAR, teamnameshort VARCHAR, teamnickname VARCHAR, leaguelk VARCHAR",
+    "game_schedule": "game_id BIGINT, home_id BIGINT, away_id BIGINT, home_score INTEGER, away_score INTEGER, game_date TIMESTAMP",
+    "lineup_games": "game_id BIGINT, home_id BIGINT, away_id BIGINT, home_score INTEGER, away_score INTEGER, game_date TIMESTAMP",
+    "player": "player_id BIGINT, first_name VARCHAR, last_name VARCHAR",
+    "part_player": "player_id BIGINT, first_name VARCHAR, last_name VARCHAR",
+    "lineup": "team_id BIGINT, player_id BIGINT, lineup_num INTEGER, period INTEGER, time_in INTEGER, time_out INTEGER, game_id BIGINT",
+    "lineup5": "team_id BIGINT, player_id BIGINT, lineup_num INTEGER, period INTEGER, time_in INTEGER, time_out INTEGER, game_id BIGINT",
+}
+
+
+def duck_con(tables):
+    con = duckdb.connect()
+    for name, pdf in tables.items():
+        con.register(f"_src_{name}", pdf)
+        cols = ", ".join(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}"
+                         for c in DUCK_TYPES[name].split(", "))
+        con.execute(f"CREATE TABLE {name} AS SELECT {cols} FROM _src_{name}")
+    return con
+
+
+def check(con, name, sdf):
+    sql = model_statements()[name]
+    cur = con.execute(sql)
+    dcols = [d[0] for d in cur.description]
+    d_rows, d_cols = rows_of(dcols, cur.fetchall())
+    s_rows, s_cols = rows_of(sdf.columns, [tuple(r) for r in sdf.collect()])
+    assert s_cols == d_cols, (name, s_cols, d_cols)
+    assert s_rows == d_rows, (name, sorted(set(s_rows) ^ set(d_rows))[:6])
+    return s_rows
