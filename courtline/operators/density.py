@@ -105,19 +105,21 @@ def number_within_key(rows: DataFrame, key: str, date_col: str, tie: str, out: s
 
     Games are first counted per (key, date); a running sum over a key's distinct
     dates gives the offset of each date; the number within the date comes from
-    a window over (key, date).  NULL dates sort after all others.
+    a window over (key, date).  NULL dates sort after all others: the date is
+    carried as (is-NULL flag, date with NULL filled) so that every join key is
+    a plain equality and the window's hash partitioning also serves the join.
     """
     d = F.to_date(F.col(date_col))
-    rows = rows.withColumn("__d", d)
-    per_day = rows.groupBy(key, "__d").agg(F.count(F.lit(1)).alias("__m"))
-    w_days = Window.partitionBy(key).orderBy(F.asc_nulls_last("__d"))
-    offsets = (per_day.withColumn(
+    rows = (rows.withColumn("__dn", d.isNull())
+                .withColumn("__d", F.coalesce(d, F.lit("1970-01-01").cast("date"))))
+    day_keys = [key, "__dn", "__d"]
+    per_day = rows.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("__m"))
+    w_days = Window.partitionBy(key).orderBy("__dn", "__d")
+    offsets = per_day.withColumn(
         "__off", F.coalesce(F.sum("__m").over(w_days.rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0).cast("long")))
-        .select(F.col(key).alias("__ok"), F.col("__d").alias("__od"), "__off"))
-    w_in_day = Window.partitionBy(key, "__d").orderBy(F.asc_nulls_last(tie))
+                            F.lit(0).cast("long"))).drop("__m")
+    w_in_day = Window.partitionBy(*day_keys).orderBy(F.asc_nulls_last(tie))
     numbered = rows.withColumn("__rn", F.row_number().over(w_in_day))
-    cond = (F.col(key) == F.col("__ok")) & F.col("__d").eqNullSafe(F.col("__od"))
-    return (numbered.join(offsets, cond, "inner")
+    return (numbered.join(offsets, day_keys, "inner")
                     .withColumn(out, (F.col("__off") + F.col("__rn")).cast("long"))
-                    .drop("__d", "__off", "__rn", "__ok", "__od"))
+                    .drop("__d", "__dn", "__off", "__rn"))

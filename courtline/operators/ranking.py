@@ -72,7 +72,11 @@ def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool =
     for i, (col, out) in enumerate(specs):
         key = f"__v{i}"
         ranks = rank_table(df, col, out, descending, partitions).withColumnRenamed(col, key)
-        result = result.join(ranks, result[col].eqNullSafe(ranks[key]), "left").drop(key)
+        # a NULL-safe key only where NULLs can occur: a plain equality keeps
+        # the join a simple hash-partitioned equi-join
+        cond = (result[col].eqNullSafe(ranks[key]) if df.schema[col].nullable
+                else result[col] == ranks[key])
+        result = result.join(ranks, cond, "left").drop(key)
     return result
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from courtline.functions.scalars import (
     COACH_LEVELS, SCOUT_LEVELS, colour_bucket, event_title, iso_timestamp, round_ratio)
 from courtline.operators import density
-from courtline.operators.joins import broadcast_if_small, join_role
+from courtline.operators.joins import broadcast_if_small, join_role, source_rows
 from courtline.operators.ranking import global_ranks, top_k
 from courtline.operators.roles import explode_roles, explode_teams
 
@@ -27,13 +27,20 @@ def team_games(team: DataFrame, games: DataFrame, how: str = "inner",
                cols: tuple[str, ...] = ("game_id", "home_id", "away_id", "game_date")) -> DataFrame:
     """The OR join of teams and games as an equi-join on the exploded role.
 
-    ``how='left'`` keeps teams without games (game columns NULL).
+    ``how='left'`` keeps teams without games (game columns NULL).  It is built
+    as the inner join (teams broadcast, game rows never shuffled) plus the
+    teams that no game names, found by an anti-join against the distinct team
+    ids of the games (partially aggregated, so a hot team collapses map-side).
     """
     g = explode_teams(games.select(*cols))
     t = team.select("teamid", "teamname")
-    if how == "left":
-        return t.join(g, "teamid", "left")
-    return g.join(broadcast_if_small(t), "teamid", "inner").select("teamid", "teamname", *cols)
+    matched = g.join(broadcast_if_small(t), "teamid", "inner").select("teamid", "teamname", *cols)
+    if how != "left":
+        return matched
+    played = g.select("teamid").where(F.col("teamid").isNotNull()).distinct()
+    idle = t.join(played, "teamid", "left_anti")
+    nulls = [F.lit(None).cast(games.schema[c].dataType).alias(c) for c in cols]
+    return matched.unionByName(idle.select("teamid", "teamname", *nulls))
 
 
 # ---------------------------------------------------------------------------
@@ -48,7 +55,9 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
     as one home and one away game.  Teams without games have zeros, a NULL
     percentage and the rank after all teams with games.
     """
-    g = explode_teams(games.select("home_id", "away_id", "home_score", "away_score"))
+    t_rows = source_rows(team)
+    known = broadcast_if_small(team.select("teamid"), rows=t_rows)
+    g = explode_teams(games.select("home_id", "away_id", "home_score", "away_score")).join(known, "teamid")
     is_home = F.col("home_id") == F.col("teamid")
     is_away = F.col("away_id") == F.col("teamid")
     hs, aws = F.col("home_score"), F.col("away_score")
@@ -59,8 +68,9 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
         F.sum(F.when(is_home & (hs < aws), 1).when(is_away & (aws < hs), 1).otherwise(0)).alias("losses"),
     )
     zero = F.lit(0).cast("long")
+    # per_team has at most one row per known team: the team count bounds it
     stats = (team.select("teamid", "teamname")
-                 .join(per_team, "teamid", "left")
+                 .join(broadcast_if_small(per_team, rows=t_rows), "teamid", "left")
                  .select("teamid", "teamname",
                          (F.coalesce("home_games", zero) + F.coalesce("away_games", zero)).alias("games_played"),
                          F.coalesce(F.col("wins").cast("long"), zero).alias("wins"),
@@ -186,9 +196,15 @@ def team_records(team: DataFrame, games: DataFrame, name_col: str = "teamnicknam
 # ---------------------------------------------------------------------------
 
 def _records_dim(team: DataFrame, games: DataFrame) -> DataFrame:
-    """One row per team with games: both names and the record totals."""
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname", "teamnickname"))
-    return record_totals(games).join(t, "team_id")
+    """One row per team with games: both names and the record totals.
+
+    Inner-joined on the team key, so it has at most as many rows as the team
+    table: that bound decides the broadcast to the (large) game side.
+    """
+    t_rows = source_rows(team)
+    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname", "teamnickname"),
+                           rows=t_rows)
+    return broadcast_if_small(record_totals(games).join(t, "team_id"), rows=t_rows)
 
 
 def _with_roles(games: DataFrame, recs: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def with_opponent(lineup: DataFrame, games: DataFrame, team: DataFrame) -> DataF
     home team (even for a team in neither role).  The CASE becomes a computed
     equi-join key.
     """
-    g = games.select("game_id", "home_id", "away_id", "game_date")
+    g = broadcast_if_small(games.select("game_id", "home_id", "away_id", "game_date"))
     rows = lineup.join(g, "game_id")
     rows = rows.withColumn("opp_id", F.when(F.col("team_id") == F.col("home_id"), F.col("away_id"))
                                       .otherwise(F.col("home_id")))
