@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # broadcast from measured shuffle sizes and to split skewed partitions.
 MAX_BROADCAST_ROWS = 2_000_000
 
-# Row counts of source file sets, per session: counting a Parquet table reads
-# only its footers, and one count serves every projection of the table.
+# Row counts of Parquet source file sets, per session: counting a Parquet table
+# reads only its footers, and one count serves every projection of the table.
 _SOURCE_ROWS: dict[tuple, int] = {}
 
 
@@ -20,8 +20,8 @@ def source_rows(df: DataFrame) -> int:
     """Rows of the files ``df`` reads: an upper bound on the rows of ``df``
     when ``df`` is a projection, filter or aggregate of one table."""
     files = tuple(sorted(df.inputFiles()))
-    if not files:
-        return df.count()
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return df.count()  # not Parquet-backed: count the frame itself
     key = (id(df.sparkSession), files)
     if key not in _SOURCE_ROWS:
         _SOURCE_ROWS[key] = df.sparkSession.read.parquet(*files).count()

@@ -85,3 +85,11 @@ def test_non_integral_float_key_rejected(spark, data_dir):
     with pytest.raises(Exception, match="not an integer"):
         ingest.load_tables(spark, data_dir, out_dir=tempfile.mkdtemp(prefix="courtline-out-"),
                            tables=["team_affiliate"])
+
+
+def test_queries_run_on_json_backed_tables(spark, data_dir):
+    # size checks for broadcasts must work for non-Parquet sources too
+    from courtline.plans import schedule
+    frames, _ = ingest.load_tables(spark, data_dir, tables=["team", "game_schedule"])
+    rows = {r.teamid: r for r in schedule.team_standings(frames["team"], frames["game_schedule"]).collect()}
+    assert (rows[10].wins, rows[11].losses, rows[10].win_percentage) == (1, 1, 1.0)
