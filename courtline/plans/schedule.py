@@ -136,7 +136,8 @@ def games_in_window(team: DataFrame, games: DataFrame, n_games: int = 3, days: i
     dated = density.dates_per_key(rows, "team_id", "game_date")
     counts = density.stretch_count(dated, "team_id", n_games, days, out)
     t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname"))
-    return counts.join(t, "team_id").select("team_id", "teamname", out)
+    return (counts.join(t, "team_id").select("team_id", "teamname", out)
+                  .orderBy(F.desc(out), F.asc("team_id")))
 
 
 def game_numbers(team: DataFrame, games: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courtline.plans import schedule, stints
 
@@ -38,3 +39,13 @@ def scout_schedule(team: DataFrame, games: DataFrame) -> DataFrame:
 def coach_schedule(team: DataFrame, games: DataFrame,
                    team_name: str = DEFAULT_COACH_TEAM) -> DataFrame:
     return schedule.calendar(schedule.opponent_difficulty(team, games, team_name))
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """Each row as one JSON object (column name -> value), built on the executors."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Write a result as JSON Lines (distributed; nothing passes through the driver)."""
+    df.write.mode("overwrite").json(path)

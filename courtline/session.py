@@ -19,17 +19,35 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (about 1000 executors reading ~100 TB).  Shuffle
+# partitions start high and adaptive execution coalesces them towards the
+# advisory size, so no shuffle partition outgrows executor memory; scans split
+# files into 512 MB tasks; skewed partitions above 5x the median (and 1 GB) are
+# split by the skew-join rule; AQE may broadcast a side measured under 64 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "32768",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32768",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "courtline", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "courtline", extra: dict | None = None,
+                  cluster: bool = False) -> SparkSession:
     """Create (or reuse) a SparkSession with courtline's defaults.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; tests pass
-    ``local[*]`` and a small shuffle partition count.
+    On a cluster pass ``master=None`` and ``cluster=True`` and let spark-submit
+    decide the rest; tests pass ``local[*]`` and a small shuffle partition count.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULT_CONF.items():
+    for key, value in {**DEFAULT_CONF, **(CLUSTER_CONF if cluster else {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

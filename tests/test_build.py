@@ -49,3 +49,31 @@ def test_calendars_sorted(spark):
     assert "2024-01-06T20:30:15.250000" in starts
     coach = serving.coach_schedule(m["team"], m["game_schedule"], COACH_TEAM).collect()
     assert sorted(e.game_id for e in coach) == [1, 2, 3, 4, 5, 11, 12]   # self-game once
+
+
+def test_command_line_build_and_serve(spark, tmp_path):
+    import json
+    import os as _os
+    from courtline.__main__ import main
+    data = tmp_path / "json"
+    data.mkdir()
+    def dump(name, rows):
+        (data / name).write_text(json.dumps(rows))
+    dump("team.json", [{"teamId": 1, "leagueLk": "NBA", "teamName": "A", "teamNameShort": "A", "teamNickname": "As"},
+                       {"teamId": 2, "leagueLk": "NBA", "teamName": "B", "teamNameShort": "B", "teamNickname": "Bs"}])
+    dump("team_affiliate.json", [])
+    dump("game_schedule.json", [{"game_id": 10, "home_id": 1, "home_score": 100, "away_id": 2,
+                                 "away_score": 90, "game_date": "2024-01-01 19:00:00"}])
+    dump("player.json", [{"player_id": 101, "first_name": "Ann", "last_name": "Lee"}])
+    dump("lineup.json", [{"team_id": 1, "player_id": 101, "lineup_num": 1, "period": 1,
+                          "time_in": 720, "time_out": 600, "game_id": 10}])
+    dump("roster.json", [])
+    out = str(tmp_path / "out")
+    main(["build", "--data", str(data), "--out", out, "--master", "local[2]"])
+    main(["stints", "--out", out, "--dest", str(tmp_path / "stints"), "--master", "local[2]"])
+    main(["scout", "--out", out, "--dest", str(tmp_path / "scout"), "--master", "local[2]"])
+    stint_rows = spark.read.json(str(tmp_path / "stints")).collect()
+    assert [(r.player_name, r.games, r.avg_stint_length_seconds) for r in stint_rows] == [("Ann Lee", 1, 120.0)]
+    ev = spark.read.json(str(tmp_path / "scout")).collect()
+    assert [(e.title, e.color) for e in ev] == [("As vs Bs (Diff: 0)", "#d4af37")]
+    assert _os.path.isdir(_os.path.join(out, "derived", "final_summary"))
