@@ -46,7 +46,7 @@ def build_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str) -
     save(stints.lineup_wide(lineup, player), "wide_table")
 
     intervals = materialize(stints.stint_intervals(lineup, games, team, player),
-                            "temp_stint_accumulation")
+                            "temp_stint_accumulation")  # carries the NULL-name salt column
     save(stints.stint_results(intervals), "stints_results")
     durations = materialize(stints.stint_durations(intervals), "temp_stint_durations")
     save(stints.stint_averages(durations), "stints_results_averages")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions.scalars import clock_mmss, full_name, round_diff_of_ratios, round_ratio
 from courtline.operators.intervals import number_islands
-from courtline.operators.joins import broadcast_if_small, join_role
+from courtline.operators.joins import broadcast_if_small, join_role, source_rows
 from courtline.operators.pivot import pivot_fixed_groups
 from courtline.plans.schedule import game_results
 
@@ -88,23 +88,31 @@ def stint_intervals(lineup: DataFrame, games: DataFrame, team: DataFrame,
     rows = with_opponent(distinct, games, team)
     names = broadcast_if_small(player.select("player_id", full_name().alias("player_name")))
     rows = rows.join(names, "player_id")
-    rows = rows.repartition("player_name", "game_date")
+    # NULL names (a missing first or last name) would all hash to one task per
+    # day; they are spread by game, which the windows split by anyway.
+    rows = rows.withColumn("__salt", F.when(F.col("player_name").isNull(), F.col("game_id")))
+    rows = rows.repartition("player_name", "game_date", "__salt")
     numbered = number_islands(
         rows,
-        group=["player_name", "game_date", "game_id", "period"],
-        lead_group=["player_name", "game_date", "game_id", "period", "player_id"],
+        group=["player_name", "game_date", "__salt", "game_id", "period"],
+        lead_group=["player_name", "game_date", "__salt", "game_id", "period", "player_id"],
         start="time_in", end="time_out", out="stint_number")
     return numbered.select("game_date", "game_id", "team_id", "team", "opponent", "player_name",
-                           "period", "time_in", "time_out", "stint_number")
+                           "period", "time_in", "time_out", "stint_number", "__salt")
 
 
 # ---------------------------------------------------------------------------
 # Q-8 stint results, Q-9 durations
 # ---------------------------------------------------------------------------
 
+def _salt(df: DataFrame):
+    """The NULL-name salt column if the intervals carry it (see stint_intervals)."""
+    return ["__salt"] if "__salt" in df.columns else []
+
+
 def _stint_groups(intervals: DataFrame) -> DataFrame:
     return (intervals.groupBy("game_date", "game_id", "team", "opponent", "player_name",
-                              "period", "stint_number")
+                              "period", "stint_number", *_salt(intervals))
                      .agg(F.max("time_in").alias("__in"), F.min("time_out").alias("__out")))
 
 
@@ -126,23 +134,35 @@ def stint_durations(intervals: DataFrame) -> DataFrame:
     groups = _stint_groups(intervals).where(
         F.col("game_date").isNotNull() & F.col("team").isNotNull() & F.col("player_name").isNotNull()
         & F.col("period").isNotNull())
-    w5 = Window.partitionBy(*STINT_KEY5)
+    # the salt is NULL on every remaining row; keeping it in the key keeps the
+    # window on the existing partitioning
+    w5 = Window.partitionBy(*STINT_KEY5, *_salt(groups))
     secs = (F.max("__in").over(w5) - F.min("__out").over(w5)).cast("int")
     return (groups.select(
                 "game_date", "team", "opponent", "player_name", "period", "stint_number",
                 clock_mmss("__in").alias("stint_start_time"),
                 clock_mmss("__out").alias("stint_end_time"),
-                secs.alias("stint_seconds"))
+                secs.alias("stint_seconds"), *_salt(groups))
             .dropDuplicates())
 
 
+def stint_intervals_table(intervals: DataFrame) -> DataFrame:
+    """The intervals without the internal salt column (the stored table's shape)."""
+    return intervals.drop("__salt")
+
+
+def stint_durations_table(durations: DataFrame) -> DataFrame:
+    """The durations without the internal salt column (the stored table's shape)."""
+    return durations.drop("__salt")
+
+
 # ---------------------------------------------------------------------------
 # Q-10 averages, Q-12 win/loss summary (two-level aggregation)
 # ---------------------------------------------------------------------------
 
 def _per_day(durations: DataFrame) -> DataFrame:
     """Level 1: per (player_name, team, game_date) stint count and second totals."""
-    return durations.groupBy("player_name", "team", "game_date").agg(
+    return durations.groupBy("player_name", "team", "game_date", *_salt(durations)).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("stint_seconds").cast("long").alias("s"),
         F.count("stint_seconds").alias("c"))
@@ -173,6 +193,8 @@ def win_loss_summary(durations: DataFrame, team: DataFrame, games: DataFrame) ->
                .groupBy("game_date", "team")
                .agg(F.count_if(F.col("result") == "win").alias("rw"),
                     F.count_if(F.col("result") == "loss").alias("rl")))
+    # at most two result rows per game: twice the games bound proves the size
+    results = broadcast_if_small(results, rows=2 * source_rows(games))
     day = _per_day(durations).join(results, ["game_date", "team"])
     rw, rl = F.col("rw"), F.col("rl")
     n, s, c = F.col("n"), F.col("s"), F.col("c")

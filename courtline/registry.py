@@ -62,9 +62,9 @@ def queries() -> dict[str, QueryFn]:
         "opponent_difficulty": _tg(lambda t, g: schedule.opponent_difficulty(t, g, COACH_TEAM)),
         "lineup_wide": _lu(lambda t: stints.lineup_wide(t.lineup5(), t.part_player())),
         "opponent_key_join": _lu(lambda t: stints.opponent_key_join(t.lineup(), t.lineup_games(), t.team())),
-        "stint_intervals": _lu(_intervals),
+        "stint_intervals": _lu(lambda t: stints.stint_intervals_table(_intervals(t))),
         "stint_results": _lu(lambda t: stints.stint_results(_intervals(t))),
-        "stint_durations": _lu(_durations),
+        "stint_durations": _lu(lambda t: stints.stint_durations_table(_durations(t))),
         "stint_averages": _lu(lambda t: stints.stint_averages(_durations(t))),
         "win_loss_summary": _lu(_summary),
         "team_list": _lu(lambda t: stints.team_list(_summary(t))),

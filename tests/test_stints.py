@@ -22,9 +22,9 @@ def _summary(m):
 
 QUERIES = {
     "opponent_key_join": lambda m: stints.opponent_key_join(m["lineup"], m["game_schedule"], m["team"]),
-    "stint_intervals": _intervals,
+    "stint_intervals": lambda m: stints.stint_intervals_table(_intervals(m)),
     "stint_results": lambda m: stints.stint_results(_intervals(m)),
-    "stint_durations": _durations,
+    "stint_durations": lambda m: stints.stint_durations_table(_durations(m)),
     "stint_averages": lambda m: stints.stint_averages(_durations(m)),
     "win_loss_summary": _summary,
     "team_list": lambda m: stints.team_list(_summary(m)),
