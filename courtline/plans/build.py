@@ -54,6 +54,15 @@ def build_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str) -
     return out
 
 
+def register_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
+    """Expose stored tables (name -> path) as session views for SQL, e.g.
+    ``spark.sql("SELECT * FROM final_summary WHERE team = 'X'")``; filters on
+    the views still push down into the Parquet scans."""
+    for name, path in paths.items():
+        spark.read.parquet(path).createOrReplaceTempView(name)
+    return sorted(paths)
+
+
 def schedule_reports(team: DataFrame, games: DataFrame) -> dict[str, DataFrame]:
     """The schedule density reports (lazy; the original only displays them)."""
     return {

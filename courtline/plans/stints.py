@@ -31,8 +31,6 @@ from courtline.plans.schedule import game_results
 
 LINEUP_KEYS = ["game_id", "team_id", "lineup_num", "period", "time_in", "time_out"]
 STINT_KEY5 = ["game_date", "team", "player_name", "period", "stint_number"]
-RESULT_COLS = ["game_date", "team", "opponent", "player_name", "period", "stint_number",
-               "stint_start_time", "stint_end_time"]
 
 
 # ---------------------------------------------------------------------------

@@ -25,6 +25,9 @@ def test_build_all_and_serve(spark):
     assert serving.stint_data(spark, summary, "").count() == 2          # '' means all teams
     pts = {r.label: (r.x, r.y) for r in serving.stint_chart(spark, summary).collect()}
     assert pts == {"Ann Lee": (2, -340.0), "Bob Ray": (1, 0.0)}
+    build.register_views(spark, paths)
+    got = spark.sql("SELECT player_name, games FROM final_summary WHERE team = 'Bravo'").collect()
+    assert [tuple(r) for r in got] == [("Bob Ray", 1)]
 
 
 def test_empty_lineup_builds_empty_tables(spark):
