@@ -3,7 +3,7 @@
   python -m courtline build  --data DIR --out DIR [--skip-failed]
   python -m courtline stints --out DIR --dest DIR [--team NAME]
   python -m courtline scout  --out DIR --dest DIR
-  python -m courtline coach  --out DIR --dest DIR [--team NAME]
+  python -m courtline coach  --out DIR --dest DIR --team NAME
 
 ``build`` loads the JSON sources (typed, key-checked) into Parquet under
 ``--out/tables`` and writes the derived tables under ``--out/derived``.  The
@@ -50,7 +50,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "scout":
         result = serving.scout_schedule(team, games)
     else:
-        result = serving.coach_schedule(team, games, args.team or serving.DEFAULT_COACH_TEAM)
+        if not args.team:
+            ap.error("coach needs --team")
+        result = serving.coach_schedule(team, games, args.team)
     serving.write_json(result, args.dest)
 
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from courtline.plans import schedule, stints
 
-DEFAULT_COACH_TEAM = "LA Clippers"  # fixed value: the coach view's default team
-
-
 def stored_summary(spark: SparkSession, summary_path: str) -> DataFrame:
     return spark.read.parquet(summary_path)
 
@@ -36,8 +33,8 @@ def scout_schedule(team: DataFrame, games: DataFrame) -> DataFrame:
     return schedule.calendar(schedule.schedule_difficulty(team, games))
 
 
-def coach_schedule(team: DataFrame, games: DataFrame,
-                   team_name: str = DEFAULT_COACH_TEAM) -> DataFrame:
+def coach_schedule(team: DataFrame, games: DataFrame, team_name: str) -> DataFrame:
+    """The coach's calendar for ``team_name`` (the team's full name)."""
     return schedule.calendar(schedule.opponent_difficulty(team, games, team_name))
 
 
