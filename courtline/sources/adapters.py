@@ -21,11 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtline.functions.scalars import int_div
 
 LINEUP_EPOCH = "2024-01-01"  # day 0 of the lineup game numbering
 
 
+# Parquet reads are cached per session and path: resolving a table (listing,
+# footer schema) costs a driver round trip that every query would repeat.
+_RAW: dict[tuple[int, str], DataFrame] = {}
+
+
 class Tables:
     """Lazy access to the driver tables of one scale-factor directory."""
 
@@ -34,7 +38,11 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        if key not in _RAW:
+            _RAW[key] = self.spark.read.parquet(path)
+        return _RAW[key]
 
     # -- teams ---------------------------------------------------------------
     def team_count(self) -> Column:
@@ -42,50 +50,38 @@ class Tables:
         return self.raw("supplier").select(F.count(F.lit(1))).scalar()
 
     def team(self) -> DataFrame:
-        return self.raw("supplier").select(
-            F.col("s_suppkey").alias("teamid"),
-            F.col("s_name").alias("teamname"),
-            F.col("s_name").alias("teamnickname"),
-        )
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS teamid", "s_name AS teamname", "s_name AS teamnickname")
 
     # -- games ---------------------------------------------------------------
     def game_schedule(self) -> DataFrame:
         n = self.team_count()
-        price = F.col("o_totalprice")
         return self.raw("orders").select(
             F.col("o_orderkey").alias("game_id"),
             F.pmod(F.col("o_custkey"), n).alias("home_id"),
             F.pmod(F.col("o_orderkey"), n).alias("away_id"),
-            (F.pmod(F.floor(price), F.lit(60)) + 80).cast("int").alias("home_score"),
-            (F.pmod(F.floor(price / 60), F.lit(60)) + 80).cast("int").alias("away_score"),
+            F.expr("CAST(pmod(floor(o_totalprice), 60) + 80 AS INT) AS home_score"),
+            F.expr("CAST(pmod(floor(o_totalprice / 60), 60) + 80 AS INT) AS away_score"),
             F.col("o_orderdate").alias("game_date"),
         )
 
     # -- players -------------------------------------------------------------
     def player(self) -> DataFrame:
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("player_id"),
-            F.col("c_name").alias("first_name"),
-            F.col("c_mktsegment").alias("last_name"),
-        )
+        return self.raw("customer").selectExpr(
+            "c_custkey AS player_id", "c_name AS first_name", "c_mktsegment AS last_name")
 
     # -- lineups (intervals on court) ------------------------------------------
     def _lineup_events(self) -> DataFrame:
-        ev = self.raw("events")
-        uid, ts = F.col("user_id"), F.col("ts")
-        pair = F.pmod(uid, F.lit(5))
-        day = F.datediff(F.to_date(ts), F.lit(LINEUP_EPOCH).cast("date"))
-        hour = F.hour(ts)
-        time_in = F.lit(43200) - (F.pmod(hour, F.lit(12)) * 3600 + F.minute(ts) * 60 + F.second(ts))
-        return ev.select(
-            (2 * pair + F.pmod(int_div(uid, F.lit(5)), F.lit(2))).alias("team_id"),
-            uid.alias("player_id"),
-            F.col("event_id").alias("lineup_num"),
-            (1 + int_div(hour, F.lit(12))).cast("int").alias("period"),
-            time_in.cast("int").alias("time_in"),
-            F.greatest(F.lit(0), time_in - F.floor(F.col("value") * 120)).cast("int").alias("time_out"),
-            (5 * day.cast("long") + pair).alias("game_id"),
-            F.to_date(ts).cast("timestamp_ntz").alias("_day"),
+        time_in = "(43200 - (pmod(hour(ts), 12) * 3600 + minute(ts) * 60 + second(ts)))"
+        return self.raw("events").selectExpr(
+            "2 * pmod(user_id, 5) + pmod(user_id div 5, 2) AS team_id",
+            "user_id AS player_id",
+            "event_id AS lineup_num",
+            "CAST(1 + hour(ts) div 12 AS INT) AS period",
+            f"CAST({time_in} AS INT) AS time_in",
+            f"CAST(greatest(0, {time_in} - floor(value * 120)) AS INT) AS time_out",
+            f"5 * CAST(datediff(to_date(ts), DATE'{LINEUP_EPOCH}') AS BIGINT) + pmod(user_id, 5) AS game_id",
+            "CAST(to_date(ts) AS TIMESTAMP_NTZ) AS _day",
         )
 
     def lineup(self) -> DataFrame:
@@ -93,35 +89,30 @@ class Tables:
 
     def lineup_games(self) -> DataFrame:
         """One game per lineup game id: home is the even team of the pair."""
-        lu = self._lineup_events()
-        home = 2 * F.pmod(F.col("game_id"), F.lit(5))
-        return (lu.groupBy("game_id")
-                  .agg(F.count_if(F.col("team_id") == home).cast("int").alias("home_score"),
-                       F.count_if(F.col("team_id") == home + 1).cast("int").alias("away_score"),
-                       F.min("_day").alias("game_date"))
-                  .select("game_id", home.alias("home_id"), (home + 1).alias("away_id"),
-                          "home_score", "away_score", "game_date"))
+        return (self._lineup_events()
+                .groupBy("game_id")
+                .agg(F.expr("CAST(count_if(team_id = 2 * pmod(game_id, 5)) AS INT) AS home_score"),
+                     F.expr("CAST(count_if(team_id = 2 * pmod(game_id, 5) + 1) AS INT) AS away_score"),
+                     F.min("_day").alias("game_date"))
+                .selectExpr("game_id", "2 * pmod(game_id, 5) AS home_id",
+                            "2 * pmod(game_id, 5) + 1 AS away_id",
+                            "home_score", "away_score", "game_date"))
 
     # -- five-player groups for the pivot ------------------------------------------
     def lineup5(self) -> DataFrame:
-        li = self.raw("lineitem")
-        okey = F.col("l_orderkey")
-        return li.select(
-            okey.alias("game_id"),
-            F.pmod(okey, F.lit(2)).alias("team_id"),
-            F.lit(1).alias("lineup_num"),
-            (1 + F.pmod(okey, F.lit(4))).cast("int").alias("period"),
-            F.lit(720).alias("time_in"),
-            F.lit(0).alias("time_out"),
-            F.col("l_partkey").alias("player_id"),
+        return self.raw("lineitem").selectExpr(
+            "l_orderkey AS game_id",
+            "pmod(l_orderkey, 2) AS team_id",
+            "1 AS lineup_num",
+            "CAST(1 + pmod(l_orderkey, 4) AS INT) AS period",
+            "720 AS time_in",
+            "0 AS time_out",
+            "l_partkey AS player_id",
         )
 
     def part_player(self) -> DataFrame:
-        return self.raw("part").select(
-            F.col("p_partkey").alias("player_id"),
-            F.col("p_name").alias("first_name"),
-            F.col("p_brand").alias("last_name"),
-        )
+        return self.raw("part").selectExpr(
+            "p_partkey AS player_id", "p_name AS first_name", "p_brand AS last_name")
 
 
 # ---------------------------------------------------------------------------
