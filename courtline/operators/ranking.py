@@ -8,7 +8,8 @@ row into one task.  Here the rank is computed from counts of distinct values:
 1. ``groupBy(v).count()``: partial aggregation collapses a hot value to one row
    per map task, so even a value held by a third of all rows costs nothing.
 2. The distinct values are range-partitioned in rank order into a fixed number
-   of partitions (fixed, so adaptive execution keeps the partition ids).
+   of partitions (fixed, so adaptive execution keeps the partition ids); the
+   values of several rank columns are stacked so one pass ranks them all.
    Within each partition a running sum gives the rows before each value, and a
    per-partition total is formed.
 3. The per-partition totals (one row per partition, a proven bound) are turned
@@ -29,27 +30,38 @@ def _order(col: str, descending: bool) -> Column:
     return F.desc_nulls_first(col) if descending else F.asc_nulls_last(col)
 
 
-def rank_table(df: DataFrame, col: str, out: str, descending: bool = True,
-               partitions: int | None = None) -> DataFrame:
-    """(value, rank) for every distinct value of ``col`` (NULL included)."""
+def rank_tables(df: DataFrame, cols: list[str], descending: bool = True,
+                partitions: int | None = None) -> DataFrame:
+    """(__k, __v, __rank): the rank of every distinct value of each column.
+
+    ``__k`` is the column's position in ``cols``; all columns share one pass:
+    the values are stacked as (k, v), counted, range-partitioned on (k, v) into
+    a fixed number of partitions, and ranked within each (partition, k) with
+    an offset from the earlier partitions of the same k.
+    """
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = _order(col, descending)
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
-    ranged = (counts.repartitionByRange(n_parts, order)
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("__k"), F.col(c).alias("__v")) for i, c in enumerate(cols)])).alias("__s"))
+    counts = (stacked.select("__s.__k", "__s.__v")
+                     .groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    order = _order("__v", descending)
+    ranged = (counts.repartitionByRange(n_parts, F.asc("__k"), order)
                     .withColumn("__pid", F.spark_partition_id()))
-    in_part = Window.partitionBy("__pid").orderBy(order)
+    part = Window.partitionBy("__pid", "__k")
     local = (ranged
-             .withColumn("__before", F.coalesce(
-                 F.sum("__n").over(in_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("__size", F.sum("__n").over(Window.partitionBy("__pid"))))
-    # One row per range partition: the bound that makes the broadcast safe.
-    offsets = (local.groupBy("__pid").agg(F.first("__size").alias("__size"))
+             .withColumn("__before", F.coalesce(F.sum("__n").over(
+                 part.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("__size", F.sum("__n").over(part)))
+    # One row per (range partition, column): the bound that makes the broadcast safe.
+    offsets = (local.groupBy("__pid", "__k").agg(F.first("__size").alias("__size"))
                     .withColumn("__offset", F.coalesce(F.sum("__size").over(
-                        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                    .select("__pid", "__offset"))
-    return (local.join(F.broadcast(offsets), "__pid")
-                 .select(F.col(col), (1 + F.col("__offset") + F.col("__before")).cast("long").alias(out)))
+                        Window.partitionBy("__k").orderBy("__pid")
+                              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                    .drop("__size"))
+    return (local.join(F.broadcast(offsets), ["__pid", "__k"])
+                 .select("__k", "__v",
+                         (1 + F.col("__offset") + F.col("__before")).cast("long").alias("__rank")))
 
 
 def global_rank(df: DataFrame, col: str, out: str, descending: bool = True,
@@ -65,18 +77,22 @@ def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool =
                  partitions: int | None = None) -> DataFrame:
     """Several independent global ranks of one frame: ``specs`` = [(col, out), ...].
 
-    Every rank table is derived from the same ``df`` (so its scan and shuffle
-    are shared), then joined back on the value, NULL-safe.
+    Columns of one data type share a single rank pass; each rank is joined back
+    on its value (NULL-safe only where the column can be NULL).
     """
+    by_type: dict[str, list[int]] = {}
+    for i, (col, _) in enumerate(specs):
+        by_type.setdefault(df.schema[col].dataType.simpleString(), []).append(i)
     result = df
-    for i, (col, out) in enumerate(specs):
-        key = f"__v{i}"
-        ranks = rank_table(df, col, out, descending, partitions).withColumnRenamed(col, key)
-        # a NULL-safe key only where NULLs can occur: a plain equality keeps
-        # the join a simple hash-partitioned equi-join
-        cond = (result[col].eqNullSafe(ranks[key]) if df.schema[col].nullable
-                else result[col] == ranks[key])
-        result = result.join(ranks, cond, "left").drop(key)
+    for idxs in by_type.values():
+        table = rank_tables(df, [specs[i][0] for i in idxs], descending, partitions)
+        for k, i in enumerate(idxs):
+            col, out = specs[i]
+            ranks = table.where(F.col("__k") == k).select(
+                F.col("__v").alias(f"__v{i}"), F.col("__rank").alias(out))
+            cond = (result[col].eqNullSafe(ranks[f"__v{i}"]) if df.schema[col].nullable
+                    else result[col] == ranks[f"__v{i}"])
+            result = result.join(ranks, cond, "left").drop(f"__v{i}")
     return result
 
 
