@@ -79,7 +79,14 @@ def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) ->
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for a materialised intermediate table."""
+def scratch_path(spark: SparkSession, name: str, per_application: bool = True) -> str:
+    """A sub-folder of the checkpoint folder for a materialised intermediate table.
+
+    Intermediates go under the application id so concurrent jobs never share
+    them; streaming checkpoints pass ``per_application=False`` so a restarted
+    query finds its state again.
+    """
     base = checkpoint_dir(spark, create_local_if_unset=True)
+    if per_application:
+        base = os.path.join(base, spark.sparkContext.applicationId)
     return os.path.join(base, name)

@@ -48,7 +48,8 @@ def start_records(spark: SparkSession, games_dir: str, team: DataFrame, out_path
 
     writer = (records_stream(spark, games_dir).writeStream
               .outputMode("complete")
-              .option("checkpointLocation", scratch_path(spark, os.path.join("streams", query_name)))
+              .option("checkpointLocation",
+                      scratch_path(spark, os.path.join("streams", query_name), per_application=False))
               .foreachBatch(write_batch)
               .queryName(query_name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

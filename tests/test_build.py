@@ -17,7 +17,7 @@ def test_build_all_and_serve(spark):
     assert spark.read.parquet(paths["stints_results"]).count() == 5
     # intermediates live in the checkpoint folder
     ckpt = spark.conf.get("spark.checkpoint.dir")
-    assert os.path.isdir(os.path.join(ckpt, "temp_stint_accumulation"))
+    assert os.path.isdir(os.path.join(ckpt, spark.sparkContext.applicationId, "temp_stint_accumulation"))
     summary = paths["final_summary"]
     assert [r.team for r in serving.team_list(spark, summary).collect()] == ["Bravo", COACH_TEAM]
     rows = serving.stint_data(spark, summary, COACH_TEAM).collect()

@@ -93,3 +93,13 @@ def test_queries_run_on_json_backed_tables(spark, data_dir):
     frames, _ = ingest.load_tables(spark, data_dir, tables=["team", "game_schedule"])
     rows = {r.teamid: r for r in schedule.team_standings(frames["team"], frames["game_schedule"]).collect()}
     assert (rows[10].wins, rows[11].losses, rows[10].win_percentage) == (1, 1, 1.0)
+
+
+def test_temp_table_and_assert_key(spark):
+    from courtline.operators.quality import assert_key
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k long, v string")
+    ingest.temp_table(df, "kv")
+    assert spark.sql("SELECT count(*) AS n FROM kv").first().n == 4
+    with pytest.raises(ValueError, match="violated"):
+        assert_key(df, ["k"], "kv")
+    assert_key(df.where("k = 1"), ["k"], "kv")
