@@ -17,6 +17,7 @@ from courtline.operators import density
 from courtline.operators.joins import broadcast_if_small, join_role, source_rows
 from courtline.operators.ranking import global_ranks, top_k
 from courtline.operators.roles import explode_roles, explode_teams
+from courtline.session import checkpointed
 
 
 # ---------------------------------------------------------------------------
@@ -77,6 +78,8 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
                          F.coalesce(F.col("losses").cast("long"), zero).alias("losses"),
                          F.coalesce("home_games", zero).alias("home_games"),
                          F.coalesce("away_games", zero).alias("away_games")))
+    # one row per team, read by the output and by the three rank tables
+    stats = checkpointed(stats)
     ranked = global_ranks(stats, [("games_played", "rank_games_played"),
                                   ("home_games", "rank_home_games"),
                                   ("away_games", "rank_away_games")])
@@ -119,7 +122,8 @@ def longest_rest(team: DataFrame, games: DataFrame) -> DataFrame:
     t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname"))
     rows = explode_teams(games.select("home_id", "away_id", "game_date"), out="team_id")
     dated = density.dates_per_key(rows, "team_id", "game_date").join(t.select("team_id"), "team_id")
-    cand = density.rest_candidates(dated, "team_id")
+    # one row per team and day, read by the maximum and by the filter
+    cand = checkpointed(density.rest_candidates(dated, "team_id"))
     longest = cand.select(F.max("rest_days")).scalar()
     best = density.expand_copies(cand.where(F.col("rest_days") == longest))
     return (best.join(t, "team_id")

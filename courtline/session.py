@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files are removed once no DataFrame refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -90,3 +92,15 @@ def scratch_path(spark: SparkSession, name: str, per_application: bool = True) -
     if per_application:
         base = os.path.join(base, spark.sparkContext.applicationId)
     return os.path.join(base, name)
+
+
+def checkpointed(df):
+    """``df`` computed once and written to the shared checkpoint folder.
+
+    For small intermediates that a plan reads twice with different column
+    needs (so Spark cannot reuse the exchange): without it both reads would
+    rescan and re-aggregate the large input.  The lineage is cut at the
+    written files, which also survive the loss of executors.
+    """
+    checkpoint_dir(df.sparkSession, create_local_if_unset=True)
+    return df.checkpoint(eager=True)
