@@ -60,24 +60,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_LOCAL_DIRS: dict[int, str] = {}  # private scratch folders of local sessions
+
+
 def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system or
-    object store).  Only local runs such as tests may ask for a private scratch
-    folder when it is unset; that folder is then recorded in the session so
-    every later call agrees on it.
+    object store).  Only local runs such as tests may get a private scratch
+    folder when it is unset.  The SparkContext's checkpoint folder is set once
+    (every ``setCheckpointDir`` call would start a new sub-folder).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(sc))
     if not path and create_local_if_unset:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="courtline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if path:
-        spark.sparkContext.setCheckpointDir(path)
+        path = _LOCAL_DIRS.setdefault(id(sc), tempfile.mkdtemp(prefix="courtline-ckpt-"))
+    if path and not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
