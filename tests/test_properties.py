@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from courtline.operators import density
 from courtline.operators.ranking import global_rank
 
 
-def test_global_rank_equals_window_rank(spark):
+@pytest.mark.parametrize("hot", [0.0, 1 / 3])
+def test_global_rank_equals_window_rank(spark, hot):
     rnd = random.Random(7)
-    rows = [(i, rnd.choice([None] + list(range(25)))) for i in range(1500)]
+    rows = [(i, 7 if rnd.random() < hot else rnd.choice([None] + list(range(25)))) for i in range(1500)]
     df = spark.createDataFrame(rows, "id long, v long")
     ours = global_rank(df, "v", "r", partitions=6).select("id", "r")
     plain = df.select("id", F.rank().over(Window.orderBy(F.desc_nulls_first("v"))).cast("long").alias("r"))
@@ -22,17 +25,19 @@ def test_global_rank_equals_window_rank(spark):
     assert sorted(map(tuple, asc.collect())) == sorted(map(tuple, plain_asc.collect()))
 
 
-def _games(spark, seed, n=600, teams=6):
+def _games(spark, seed, n=600, teams=6, hot_share=0.0):
+    """Random games; with ``hot_share`` that fraction of games goes to team 0."""
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
-    rows = [(i, rnd.randrange(teams), base + dt.timedelta(days=rnd.randrange(40), hours=rnd.randrange(3)))
+    rows = [(i, 0 if rnd.random() < hot_share else rnd.randrange(teams),
+             base + dt.timedelta(days=rnd.randrange(40), hours=rnd.randrange(3)))
             for i in range(n)]
     return spark.createDataFrame(rows, "game_id long, team_id long, game_date timestamp_ntz")
 
 
 def test_stretch_count_equals_self_join(spark):
-    for seed in (1, 2):
-        g = _games(spark, seed)
+    for seed, hot in ((1, 0.0), (2, 0.0), (5, 1 / 3)):
+        g = _games(spark, seed, hot_share=hot)
         for n_games, days in ((3, 4), (2, 1), (4, 6)):
             dated = density.dates_per_key(g, "team_id", "game_date")
             ours = density.stretch_count(dated, "team_id", n_games, days, "k")
@@ -44,8 +49,9 @@ def test_stretch_count_equals_self_join(spark):
             assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect())), (seed, n_games)
 
 
-def test_consecutive_days_equals_lead(spark):
-    g = _games(spark, 3)
+@pytest.mark.parametrize("hot", [0.0, 1 / 3])
+def test_consecutive_days_equals_lead(spark, hot):
+    g = _games(spark, 3, hot_share=hot)
     dated = density.dates_per_key(g, "team_id", "game_date")
     ours = density.consecutive_day_count(dated, "team_id", "k")
     w = Window.partitionBy("team_id").orderBy(F.to_date("game_date"))
@@ -54,8 +60,9 @@ def test_consecutive_days_equals_lead(spark):
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
 
 
-def test_number_within_key_equals_row_number(spark):
-    g = _games(spark, 4)
+@pytest.mark.parametrize("hot", [0.0, 1 / 3])
+def test_number_within_key_equals_row_number(spark, hot):
+    g = _games(spark, 4, hot_share=hot)
     ours = density.number_within_key(g, "team_id", "game_date", "game_id", "n").select("game_id", "n")
     w = Window.partitionBy("team_id").orderBy(F.to_date("game_date"), "game_id")
     plain = g.select("game_id", F.row_number().over(w).cast("long").alias("n"))
