@@ -57,3 +57,27 @@ def test_int_div_exact(spark):
     big = 2 ** 52 + 3
     got = one(spark, [(big, 7), (13, 5), (0, 3)], "a long, b long", S.int_div("a", "b"))
     assert got == [big // 7, 2, 0]
+
+
+def test_round_ratio_equals_decimal_half_up(spark):
+    """Exact NUMERIC rounding vs Python's Decimal ROUND_HALF_UP on random integers."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    rnd = random.Random(3)
+    rows = [(rnd.randint(-10**9, 10**9), rnd.choice([1, 2, 3, 7, 8, 16, 200, 3 * 10**6, rnd.randint(1, 10**9)]))
+            for _ in range(3000)]
+    rows += [(k * 5, 1000) for k in range(-30, 31)]          # exact .xx5 ties
+    got = one(spark, rows, "a long, b long", S.round_ratio("a", "b"))
+    want = [float((Decimal(a) / Decimal(b)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+            if abs(Decimal(a) / Decimal(b)) < 10**12 else None for a, b in rows]
+    # Decimal division is exact to 28 digits here, enough for these magnitudes
+    assert [g for g, w in zip(got, want) if w is not None] == [w for w in want if w is not None]
+
+
+def test_diff_of_averages_single_rounding(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    rows = [(1, 8, 0, 1), (7, 3, 2, 3), (1000001, 3, 1, 2), (-5, 4, 5, 8)]
+    got = one(spark, rows, "a long, b long, c long, d long", S.round_diff_of_ratios("a", "b", "c", "d"))
+    want = [float((Decimal(a) / Decimal(b) - Decimal(c) / Decimal(d)).quantize(
+        Decimal("0.01"), rounding=ROUND_HALF_UP)) for a, b, c, d in rows]
+    assert got == want
