@@ -359,6 +359,17 @@ FROM dur GROUP BY player_name, team"""),
         "stint_summary_team": _summary(f"SELECT {_SUMMARY_COLS} FROM summary WHERE team = '{COACH_TEAM}'"),
         "scatter_points": _summary("SELECT player_name AS label, team, games AS x, "
                                    "diff_avg_stint_length AS y FROM summary"),
+        "typed_game_schedule": """
+SELECT o_orderkey AS game_id, o_custkey % 1000 AS home_id, o_orderkey % 1000 AS away_id,
+       CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 + 80 AS INTEGER) AS home_score,
+       CAST(CAST(floor(o_totalprice / 60) AS BIGINT) % 60 + 80 AS INTEGER) AS away_score,
+       strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS game_date
+FROM orders""",
+        "typed_team_affiliate": """
+SELECT s_suppkey AS nba_teamid, right(s_name, 3) AS nba_abrv,
+       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_suppkey + 1612709000 END AS glg_teamid,
+       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE left(s_name, 3) END AS glg_abrv
+FROM supplier""",
         "key_violations": """
 SELECT l_orderkey, l_linenumber, count(*) AS n
 FROM lineitem

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from courtline.oracle import COACH_TEAM
 from courtline.operators import quality
 from courtline.plans import schedule, stints
+from courtline.sources import ingest, schemas
 from courtline.sources.adapters import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,10 @@ def queries() -> dict[str, QueryFn]:
         "stint_summary_all": _lu(lambda t: stints.stint_summary(_summary(t))),
         "stint_summary_team": _lu(lambda t: stints.stint_summary(_summary(t), COACH_TEAM)),
         "scatter_points": _lu(lambda t: stints.scatter_points(_summary(t))),
+        "typed_game_schedule": _lu(lambda t: ingest.conform(
+            ingest.lower_names(t.game_schedule_source()), schemas.TARGET["game_schedule"])),
+        "typed_team_affiliate": _lu(lambda t: ingest.conform(
+            ingest.lower_names(t.team_affiliate_source()), schemas.TARGET["team_affiliate"])),
         "key_violations": _lu(lambda t: quality.key_violations(
             t.raw("lineitem"), ["l_orderkey", "l_linenumber"])),
         "distinct_rows": _lu(lambda t: quality.distinct_rows(

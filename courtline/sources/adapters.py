@@ -110,6 +110,26 @@ class Tables:
             "l_partkey AS player_id",
         )
 
+    # -- source-shaped rows for the typed ingest (names as in the JSON files) ----
+    def game_schedule_source(self) -> DataFrame:
+        """Games as the JSON source has them: source-case keys, text timestamps."""
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS Game_Id",
+            "pmod(o_custkey, 1000) AS Home_Id",
+            "CAST(pmod(floor(o_totalprice), 60) + 80 AS INT) AS Home_Score",
+            "pmod(o_orderkey, 1000) AS Away_Id",
+            "CAST(pmod(floor(o_totalprice / 60), 60) + 80 AS INT) AS Away_Score",
+            "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS Game_Date")
+
+    def team_affiliate_source(self) -> DataFrame:
+        """Affiliations as the JSON source has them: ids written as doubles, some NULL."""
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS nba_teamId",
+            "substr(s_name, -3) AS nba_abrv",
+            "CASE WHEN pmod(s_nationkey, 5) = 0 THEN NULL "
+            "ELSE CAST(s_suppkey + 1612709000 AS DOUBLE) END AS glg_teamId",
+            "CASE WHEN pmod(s_nationkey, 5) = 0 THEN NULL ELSE substr(s_name, 1, 3) END AS glg_abrv")
+
     def part_player(self) -> DataFrame:
         return self.raw("part").selectExpr(
             "p_partkey AS player_id", "p_name AS first_name", "p_brand AS last_name")
