@@ -56,10 +56,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None where the session has none (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
 _LOCAL_DIRS: dict[int, str] = {}  # private scratch folders of local sessions
 
 
@@ -71,13 +81,14 @@ def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) ->
     folder when it is unset.  The SparkContext's checkpoint folder is set once
     (every ``setCheckpointDir`` call would start a new sub-folder).
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(sc))
+    sc = _context(spark)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(spark))
     if not path and create_local_if_unset:
-        if not sc.master.startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = _LOCAL_DIRS.setdefault(id(sc), tempfile.mkdtemp(prefix="courtline-ckpt-"))
-    if path and not sc.getCheckpointDir():
+        path = _LOCAL_DIRS.setdefault(id(spark), tempfile.mkdtemp(prefix="courtline-ckpt-"))
+    if path and sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
@@ -91,7 +102,7 @@ def scratch_path(spark: SparkSession, name: str, per_application: bool = True) -
     """
     base = checkpoint_dir(spark, create_local_if_unset=True)
     if per_application:
-        base = os.path.join(base, spark.sparkContext.applicationId)
+        base = os.path.join(base, spark.conf.get("spark.app.id", "app"))
     return os.path.join(base, name)
 
 
