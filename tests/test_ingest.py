@@ -103,3 +103,14 @@ def test_temp_table_and_assert_key(spark):
     with pytest.raises(ValueError, match="violated"):
         assert_key(df, ["k"], "kv")
     assert_key(df.where("k = 1"), ["k"], "kv")
+
+
+def test_multi_line_document_and_failfast(spark, tmp_path):
+    rows = [{"player_id": 1, "first_name": "Ann", "last_name": "Lee"},
+            {"player_id": 2, "first_name": "Bob", "last_name": None}]
+    (tmp_path / "player.json").write_text(json.dumps(rows, indent=2))      # one document over many lines
+    df = ingest.load_table(spark, "player", str(tmp_path / "player.json"), multi_line=True)
+    assert sorted(map(tuple, df.collect())) == [(1, "Ann", "Lee"), (2, "Bob", None)]
+    (tmp_path / "bad.json").write_text('{"player_id": 1, "first_name": "Ann"\n')  # malformed record
+    with pytest.raises(Exception):
+        ingest.load_table(spark, "player", str(tmp_path / "bad.json")).collect()
