@@ -6,7 +6,7 @@ row into one task.  Here the rank is computed from counts of distinct values:
     rank(v) = 1 + number of rows whose value sorts strictly before v
 
 1. ``groupBy(v).count()``: partial aggregation collapses a hot value to one row
-   per map task, so even a value held by a third of all rows costs nothing.
+   per map task, so a value held by a third of all rows shuffles only a few rows.
 2. The distinct values are range-partitioned in rank order into a fixed number
    of partitions (fixed, so adaptive execution keeps the partition ids); the
    values of several rank columns are stacked so one pass ranks them all.
@@ -14,7 +14,9 @@ row into one task.  Here the rank is computed from counts of distinct values:
    per-partition total is formed.
 3. The per-partition totals (one row per partition, a proven bound) are turned
    into offsets by a running sum and broadcast back.
-4. The (value, rank) table is joined back to the rows on the value.
+4. The (value, rank) table is joined back to the rows on the value; a hot
+   value is a skewed key there, which AQE's skew-join rule splits on the row
+   side (the preserved side of the left join).
 
 No step holds more than one range of distinct values in a task.
 """
