@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtline.operators.joins import broadcast_if_small
+
 
 def _order(col: str, descending: bool) -> Column:
     # NULL placement of the original database: first for DESC, last for ASC.
@@ -76,11 +78,13 @@ def global_rank(df: DataFrame, col: str, out: str, descending: bool = True,
 
 
 def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool = True,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, rows_bound: int | None = None) -> DataFrame:
     """Several independent global ranks of one frame: ``specs`` = [(col, out), ...].
 
     Columns of one data type share a single rank pass; each rank is joined back
-    on its value (NULL-safe only where the column can be NULL).
+    on its value (NULL-safe only where the column can be NULL).  A rank table
+    has at most one row per distinct value, so when ``rows_bound`` (a proven
+    bound on the rows of ``df``) is small enough the join back is a broadcast.
     """
     by_type: dict[str, list[int]] = {}
     for i, (col, _) in enumerate(specs):
@@ -92,6 +96,8 @@ def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool =
             col, out = specs[i]
             ranks = table.where(F.col("__k") == k).select(
                 F.col("__v").alias(f"__v{i}"), F.col("__rank").alias(out))
+            if rows_bound is not None:
+                ranks = broadcast_if_small(ranks, rows=rows_bound)
             cond = (result[col].eqNullSafe(ranks[f"__v{i}"]) if df.schema[col].nullable
                     else result[col] == ranks[f"__v{i}"])
             result = result.join(ranks, cond, "left").drop(f"__v{i}")

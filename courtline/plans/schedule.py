@@ -82,7 +82,7 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
     stats = checkpointed(stats)
     ranked = global_ranks(stats, [("games_played", "rank_games_played"),
                                   ("home_games", "rank_home_games"),
-                                  ("away_games", "rank_away_games")])
+                                  ("away_games", "rank_away_games")], rows_bound=t_rows)
     return ranked.select(
         "teamid", "teamname", "games_played", "rank_games_played", "wins", "losses",
         F.when(F.col("games_played") > 0, round_ratio("wins", "games_played")).alias("win_percentage"),
