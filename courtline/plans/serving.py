@@ -46,3 +46,36 @@ def json_rows(df: DataFrame) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """Write a result as JSON Lines (distributed; nothing passes through the driver)."""
     df.write.mode("overwrite").json(path)
+
+
+def register_query_views(spark: SparkSession, frames: dict[str, DataFrame]) -> list[str]:
+    """Register the model tables and every query result as lazy session views.
+
+    ``frames`` holds the typed model tables (team, game_schedule, player,
+    lineup).  Afterwards e.g. ``spark.sql("SELECT * FROM home_back_to_back")``
+    plans the same DataFrame as the function call; nothing is computed here.
+    """
+    team, games = frames["team"], frames["game_schedule"]
+    player, lineup = frames["player"], frames["lineup"]
+    intervals = stints.stint_intervals(lineup, games, team, player)
+    durations = stints.stint_durations(intervals)
+    summary = stints.win_loss_summary(durations, team, games)
+    views = {
+        **frames,
+        "basic_queries": schedule.team_standings(team, games),
+        "home_back_to_back": schedule.back_to_back(team, games, "home"),
+        "away_back_to_back": schedule.back_to_back(team, games, "away"),
+        "longest_rest": schedule.longest_rest(team, games),
+        "three_in_four": schedule.games_in_window(team, games),
+        "game_results": schedule.game_results(team, games),
+        "team_records": schedule.team_records(team, games),
+        "wide_table": stints.lineup_wide(lineup, player),
+        "stint_accumulation": stints.stint_intervals_table(intervals),
+        "stints_results": stints.stint_results(intervals),
+        "stint_durations": stints.stint_durations_table(durations),
+        "stints_results_averages": stints.stint_averages(durations),
+        "final_summary": summary,
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)

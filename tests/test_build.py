@@ -80,3 +80,12 @@ def test_command_line_build_and_serve(spark, tmp_path):
     ev = spark.read.json(str(tmp_path / "scout")).collect()
     assert [(e.title, e.color) for e in ev] == [("As vs Bs (Diff: 0)", "#d4af37")]
     assert _os.path.isdir(_os.path.join(out, "derived", "final_summary"))
+
+
+def test_query_views_for_sql_users(spark):
+    m = frames(spark, games=STINT_GAMES, lineup=STINT_LINEUP)
+    names = serving.register_query_views(spark, m)
+    assert "final_summary" in names and "home_back_to_back" in names
+    got = spark.sql("SELECT player_name, games FROM final_summary ORDER BY player_name").collect()
+    assert [tuple(r) for r in got] == [("Ann Lee", 2), ("Bob Ray", 1)]
+    assert spark.sql("SELECT count(*) AS n FROM stints_results").first().n == 5
