@@ -53,7 +53,9 @@ def register_query_views(spark: SparkSession, frames: dict[str, DataFrame]) -> l
 
     ``frames`` holds the typed model tables (team, game_schedule, player,
     lineup).  Afterwards e.g. ``spark.sql("SELECT * FROM home_back_to_back")``
-    plans the same DataFrame as the function call; nothing is computed here.
+    plans the same DataFrame as the function call.  Only the two small
+    checkpointed intermediates (per-team standings, rest candidates) are
+    computed while registering; every other view stays lazy.
     """
     team, games = frames["team"], frames["game_schedule"]
     player, lineup = frames["player"], frames["lineup"]
