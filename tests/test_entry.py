@@ -29,3 +29,17 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     ok, n, _, detail = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
     assert ok, detail
+
+
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_column_types_match_oracle(spark, con, name):
+    sdf = E.queries()[name](spark, SF)
+    ours = {f.name: DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in sdf.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert ours == theirs
