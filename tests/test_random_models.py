@@ -27,12 +27,14 @@ TEAMS = [
 PLAYERS = [(100 + i, f"P{i % 9}", None if i == 5 else f"L{i % 4}") for i in range(1, 15)]
 
 
-def make(seed):
+def make(seed, hot=False):
+    """Random model tables; ``hot`` puts team 1 in about a third of the games,
+    player 101 in about a third of the lineup rows, and copies everywhere."""
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     games = []
     for gid in range(1, 45):
-        home = rnd.choice([1, 2, 3, 4, 5, 6, 7, 8])          # 8 is not a team
+        home = 1 if hot and rnd.random() < 1 / 3 else rnd.choice([1, 2, 3, 4, 5, 6, 7, 8])  # 8: no team
         away = home if rnd.random() < 0.05 else rnd.choice([1, 2, 3, 4, 5, 6, 7])
         hs = None if rnd.random() < 0.05 else rnd.randint(95, 100)
         as_ = rnd.randint(95, 100)
@@ -44,7 +46,7 @@ def make(seed):
     lineup, seen, seen_key = [], set(), set()
     for n in range(260):
         gid = rnd.randrange(1, 45)
-        pid = rnd.choice(list(player_team))
+        pid = 101 if hot and rnd.random() < 1 / 3 else rnd.choice(list(player_team))
         team = player_team[pid]
         period = None if rnd.random() < 0.02 else rnd.randint(1, 4)
         tin = None if rnd.random() < 0.03 else rnd.randrange(0, 721, 30)
@@ -55,7 +57,7 @@ def make(seed):
         seen_key.add(key)
         seen.add((pid, gid, period, tin, tout))
         lineup.append((team, pid, n, period, tin, tout, gid))
-        if rnd.random() < 0.05:                             # an exact copy under another number
+        if rnd.random() < (0.3 if hot else 0.05):           # an exact copy under another number
             lineup.append((team, pid, n + 1000, period, tin, tout, gid))
     return games, lineup
 
@@ -92,10 +94,10 @@ STINTS = {
 }
 
 
-@pytest.fixture(scope="module", params=[11, 29])
+@pytest.fixture(scope="module", params=[(11, False), (29, False), (47, True)])
 def world(request, spark):
     import pandas as pd
-    games, lineup = make(request.param)
+    games, lineup = make(*request.param)
     T = schemas.TARGET
     m = {"team": spark.createDataFrame(TEAMS, T["team"]),
          "game_schedule": spark.createDataFrame(games, T["game_schedule"]),
