@@ -43,3 +43,21 @@ def test_column_types_match_oracle(spark, con, name):
     rel = con.sql(E.oracle_sql()[name])
     theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert ours == theirs
+
+
+@pytest.fixture()
+def other_session_settings(spark):
+    """A different session zone and ANSI off, restored afterwards."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")}
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    yield spark
+    for k, v in saved.items():
+        spark.conf.set(k, v)
+
+
+def test_results_independent_of_zone_and_ansi(other_session_settings, con):
+    spark = other_session_settings
+    bad = [n for n, fn in E.queries().items()
+           if not compare(spark, con, n, fn, E.oracle_sql()[n], SF)[0]]
+    assert bad == []
