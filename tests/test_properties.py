@@ -67,3 +67,21 @@ def test_number_within_key_equals_row_number(spark, hot):
     w = Window.partitionBy("team_id").orderBy(F.to_date("game_date"), "game_id")
     plain = g.select("game_id", F.row_number().over(w).cast("long").alias("n"))
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_driver_table_properties(spark):
+    """SURVEY section 5 properties on the driver tables at sf0.01."""
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.01"
+    q = E.queries()
+    st = q["team_standings"](spark, sf).agg(
+        F.sum("games_played").alias("gp"), F.sum("wins").alias("w"), F.sum("losses").alias("l"),
+        F.sum("home_games").alias("h"), F.sum("away_games").alias("a")).first()
+    games = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert st.gp == 2 * games and st.h == games and st.a == games   # every id maps to a team
+    assert st.w == st.l                                            # one win and one loss per decided game
+    intervals = q["stint_intervals"](spark, sf).count()
+    stint_rows = q["stint_results"](spark, sf).count()
+    assert 0 < stint_rows <= intervals
+    res = q["game_results"](spark, sf).groupBy("result").count().collect()
+    assert sum(r["count"] for r in res) == 2 * games
