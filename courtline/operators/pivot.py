@@ -10,25 +10,27 @@ def pivot_fixed_groups(rows: DataFrame, keys: list[str], member: str, names: Dat
                        name_expr, size: int = 5, prefix: str = "player") -> DataFrame:
     """One wide row per group of exactly ``size`` named members.
 
-    1. duplicate (group, member) rows are removed (partial aggregation first,
-       so copies collapse map-side);
-    2. members are numbered 1.. within the group by member id, BEFORE names
-       are attached;
-    3. names are attached with an inner join (unknown members drop out);
-    4. groups with exactly ``size`` named members are kept, and the name of
-       number k goes to column ``{prefix}{k}`` (one aggregation pass of
-       ``max(when(rn = k, name))``; a slot whose member was unknown stays NULL).
+    Semantics: duplicate (group, member) rows count once; members are numbered
+    1.. within the group by member id (NULL last), counting unknown members
+    too; a group is kept when exactly ``size`` of its members have a name
+    row, and the name of number k goes to ``{prefix}{k}`` (NULL for an unknown
+    member's slot).  ``names`` has one row per member id (its key).
 
-    The numbering window and the final aggregation both partition by the group
-    keys, so they share one shuffle.
+    Plan: duplicates are removed with partial aggregation first, so copies
+    collapse map-side.  Names are attached BEFORE numbering with a left join
+    that marks known members (the number depends only on the group and the
+    member id, so this is the same as numbering first): the numbering window
+    and the final aggregation then share one shuffle on the group keys, even
+    when the name table is too large to broadcast.
     """
     distinct = rows.select(*keys, member).dropDuplicates()
+    labelled = names.select(member, name_expr.alias("__name"), F.lit(True).alias("__known"))
+    named = distinct.join(labelled, member, "left")
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(member))
-    numbered = distinct.withColumn("__rn", F.row_number().over(w))
-    named = numbered.join(names.select(member, name_expr.alias("__name")), member, "inner")
+    numbered = named.withColumn("__rn", F.row_number().over(w))
     slots = [F.max(F.when(F.col("__rn") == k, F.col("__name"))).alias(f"{prefix}{k}")
              for k in range(1, size + 1)]
-    return (named.groupBy(*keys)
-                 .agg(F.count(F.lit(1)).alias("__n"), *slots)
-                 .where(F.col("__n") == size)
-                 .drop("__n"))
+    return (numbered.groupBy(*keys)
+                    .agg(F.count_if(F.col("__known")).alias("__n"), *slots)
+                    .where(F.col("__n") == size)
+                    .drop("__n"))
