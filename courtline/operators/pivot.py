@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def pivot_fixed_groups(rows: DataFrame, keys: list[str], member: str, names: DataFrame,
-                       name_expr, size: int = 5, prefix: str = "player") -> DataFrame:
+                       name_expr, size: int = 5, prefix: str = "player",
+                       names_small: bool = False) -> DataFrame:
     """One wide row per group of exactly ``size`` named members.
 
     Semantics: duplicate (group, member) rows count once; members are numbered
@@ -17,17 +18,25 @@ def pivot_fixed_groups(rows: DataFrame, keys: list[str], member: str, names: Dat
     member's slot).  ``names`` has one row per member id (its key).
 
     Plan: duplicates are removed with partial aggregation first, so copies
-    collapse map-side.  Names are attached BEFORE numbering with a left join
-    that marks known members (the number depends only on the group and the
-    member id, so this is the same as numbering first): the numbering window
-    and the final aggregation then share one shuffle on the group keys, even
-    when the name table is too large to broadcast.
+    collapse map-side.  The numbering window and the final aggregation share
+    one shuffle on the group keys.  Names are attached with a left join that
+    marks known members; the number depends only on the group and the member
+    id, so the join may come before or after the numbering:
+
+    * ``names_small`` (the caller proved the name table's size): number first,
+      then broadcast the names, so the shuffle carries no name text;
+    * otherwise join first (a shuffle on the member id), so the window's
+      shuffle also serves the aggregation instead of a third exchange.
     """
     distinct = rows.select(*keys, member).dropDuplicates()
     labelled = names.select(member, name_expr.alias("__name"), F.lit(True).alias("__known"))
-    named = distinct.join(labelled, member, "left")
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(member))
-    numbered = named.withColumn("__rn", F.row_number().over(w))
+    if names_small:
+        numbered = (distinct.withColumn("__rn", F.row_number().over(w))
+                            .join(F.broadcast(labelled), member, "left"))
+    else:
+        numbered = (distinct.join(labelled, member, "left")
+                            .withColumn("__rn", F.row_number().over(w)))
     slots = [F.max(F.when(F.col("__rn") == k, F.col("__name"))).alias(f"{prefix}{k}")
              for k in range(1, size + 1)]
     return (numbered.groupBy(*keys)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions.scalars import clock_mmss, full_name, round_diff_of_ratios, round_ratio
 from courtline.operators.intervals import number_islands
-from courtline.operators.joins import broadcast_if_small, join_role, source_rows
+from courtline.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, join_role, source_rows
 from courtline.operators.pivot import pivot_fixed_groups
 from courtline.plans.schedule import game_results
 
@@ -39,8 +39,9 @@ STINT_KEY5 = ["game_date", "team", "player_name", "period", "stint_number"]
 
 def lineup_wide(lineup: DataFrame, player: DataFrame, size: int = 5) -> DataFrame:
     """Five-player lineups as one row with player1..player5 (full names)."""
-    return pivot_fixed_groups(lineup, LINEUP_KEYS, "player_id", broadcast_if_small(player),
-                              full_name(), size=size)
+    small = source_rows(player) <= MAX_BROADCAST_ROWS
+    return pivot_fixed_groups(lineup, LINEUP_KEYS, "player_id", player, full_name(),
+                              size=size, names_small=small)
 
 
 # ---------------------------------------------------------------------------

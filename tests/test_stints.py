@@ -108,3 +108,14 @@ def test_lineup_pivot(spark):
     ]
     con = duck_con(pandas_tables(lineup=PIVOT_LINEUP))
     check(con, "lineup_wide", wide)
+
+
+def test_lineup_pivot_large_names_path(spark):
+    """The join-first plan (name table too large to broadcast) gives the same rows."""
+    from courtline.functions.scalars import full_name
+    from courtline.operators.pivot import pivot_fixed_groups
+    m = frames(spark, lineup=PIVOT_LINEUP)
+    small = stints.lineup_wide(m["lineup"], m["player"])
+    large = pivot_fixed_groups(m["lineup"], stints.LINEUP_KEYS, "player_id", m["player"], full_name(),
+                               names_small=False)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
