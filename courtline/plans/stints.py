@@ -84,7 +84,20 @@ def stint_intervals(lineup: DataFrame, games: DataFrame, team: DataFrame,
     """
     distinct = lineup.select("game_id", "team_id", "player_id", "period", "time_in", "time_out") \
                      .dropDuplicates()
-    rows = with_opponent(distinct, games, team)
+    small_teams = source_rows(team) <= MAX_BROADCAST_ROWS
+    if small_teams:
+        # Only ids cross the shuffle: rows whose team or opponent is not a
+        # team are dropped now (as the inner joins would, before the windows),
+        # and both names are attached by broadcast after the windows.
+        g = broadcast_if_small(games.select("game_id", "home_id", "away_id", "game_date"))
+        rows = distinct.join(g, "game_id").withColumn(
+            "opp_id", F.when(F.col("team_id") == F.col("home_id"), F.col("away_id"))
+                       .otherwise(F.col("home_id")))
+        ids = F.broadcast(team.select(F.col("teamid").alias("__tid")))
+        rows = (rows.join(ids, F.col("team_id") == F.col("__tid"), "left_semi")
+                    .join(ids, F.col("opp_id") == F.col("__tid"), "left_semi"))
+    else:
+        rows = with_opponent(distinct, games, team)
     names = broadcast_if_small(player.select("player_id", full_name().alias("player_name")))
     rows = rows.join(names, "player_id")
     # NULL names (a missing first or last name) would all hash to one task per
@@ -96,6 +109,10 @@ def stint_intervals(lineup: DataFrame, games: DataFrame, team: DataFrame,
         group=["player_name", "game_date", "__salt", "game_id", "period"],
         lead_group=["player_name", "game_date", "__salt", "game_id", "period", "player_id"],
         start="time_in", end="time_out", out="stint_number")
+    if small_teams:
+        teams = F.broadcast(team.select("teamid", "teamname"))
+        numbered = join_role(numbered, teams, "team_id", "teamid", {"teamname": "team"})
+        numbered = join_role(numbered, teams, "opp_id", "teamid", {"teamname": "opponent"})
     return numbered.select("game_date", "game_id", "team_id", "team", "opponent", "player_name",
                            "period", "time_in", "time_out", "stint_number", "__salt")
 
