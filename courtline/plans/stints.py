@@ -7,10 +7,12 @@ Inputs in the schedule model:
 
 Physical plan of the stint chain (Q-7 .. Q-12):
 
-  lineup --dedup (partial agg map-side)--> join games / teams / players
-         --one exchange on (player_name, game_date)-->
-            island windows, per-stint aggregate, per-key-5 durations,
-            per (player, team, date) pre-aggregate      [no further shuffle]
+  lineup --dedup (partial agg map-side)--> broadcast joins: games, player names,
+         team-id semi-joins (names of small team tables are attached later)
+         --one exchange on (player_name, game_date, NULL-name salt)-->
+            island windows, team names, per-stint aggregate, per-key-5
+            durations, per (player, team, date) pre-aggregate, broadcast
+            results                                      [no further shuffle]
          --exchange on (player_name, team)--> final averages / summary
 
 (player_name, game_date) is contained in every later window partition and
