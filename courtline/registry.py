@@ -14,6 +14,7 @@ from courtline.oracle import COACH_TEAM
 from courtline.operators import quality
 from courtline.plans import schedule, stints
 from courtline.sources import ingest, schemas
+from courtline.session import checkpointed
 from courtline.sources.adapters import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -35,16 +36,26 @@ def _lu(fn):
     return run
 
 
-def _intervals(t: Tables) -> DataFrame:
-    return stints.stint_intervals(t.lineup(), t.lineup_games(), t.team(), t.player())
+def _lineup_games(t: Tables) -> DataFrame:
+    """The lineup games, computed once per query: an aggregate of the events
+    table with one row per game (at most five per calendar day), read by the
+    interval joins and again by the results; written once, events is scanned
+    once for it and its size is known exactly for the broadcast check."""
+    return checkpointed(t.lineup_games())
 
 
-def _durations(t: Tables) -> DataFrame:
-    return stints.stint_durations(_intervals(t))
+def _intervals(t: Tables, games: DataFrame | None = None) -> DataFrame:
+    games = _lineup_games(t) if games is None else games
+    return stints.stint_intervals(t.lineup(), games, t.team(), t.player())
+
+
+def _durations(t: Tables, games: DataFrame | None = None) -> DataFrame:
+    return stints.stint_durations(_intervals(t, games))
 
 
 def _summary(t: Tables) -> DataFrame:
-    return stints.win_loss_summary(_durations(t), t.team(), t.lineup_games())
+    games = _lineup_games(t)
+    return stints.win_loss_summary(_durations(t, games), t.team(), games)
 
 
 def queries() -> dict[str, QueryFn]:
