@@ -24,19 +24,32 @@ def pivot_fixed_groups(rows: DataFrame, keys: list[str], member: str, names: Dat
     id, so the join may come before or after the numbering:
 
     * ``names_small`` (the caller proved the name table's size): number first,
-      then broadcast the names, so the shuffle carries no name text;
+      aggregate member ids per slot (a hash aggregation), then look the five
+      names up by broadcast; the shuffle carries no name text;
     * otherwise join first (a shuffle on the member id), so the window's
       shuffle also serves the aggregation instead of a third exchange.
     """
     distinct = rows.select(*keys, member).dropDuplicates()
-    labelled = names.select(member, name_expr.alias("__name"), F.lit(True).alias("__known"))
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(member))
     if names_small:
-        numbered = (distinct.withColumn("__rn", F.row_number().over(w))
-                            .join(F.broadcast(labelled), member, "left"))
-    else:
-        numbered = (distinct.join(labelled, member, "left")
-                            .withColumn("__rn", F.row_number().over(w)))
+        # Slots hold member ids (fixed-width, so the aggregation is a hash
+        # aggregation with no ordering needs); the names are looked up by
+        # broadcast on the one row per kept group.
+        known = F.broadcast(names.select(member, F.lit(True).alias("__known")))
+        numbered = distinct.withColumn("__rn", F.row_number().over(w)).join(known, member, "left")
+        slot_ids = [F.max(F.when(F.col("__rn") == k, F.col(member))).alias(f"__id{k}")
+                    for k in range(1, size + 1)]
+        wide = (numbered.groupBy(*keys)
+                        .agg(F.count_if(F.col("__known")).alias("__n"), *slot_ids)
+                        .where(F.col("__n") == size))
+        for k in range(1, size + 1):
+            named = F.broadcast(names.select(F.col(member).alias(f"__m{k}"),
+                                             name_expr.alias(f"{prefix}{k}")))
+            wide = wide.join(named, F.col(f"__id{k}") == F.col(f"__m{k}"), "left")
+        return wide.select(*keys, *[f"{prefix}{k}" for k in range(1, size + 1)])
+    labelled = names.select(member, name_expr.alias("__name"), F.lit(True).alias("__known"))
+    numbered = (distinct.join(labelled, member, "left")
+                        .withColumn("__rn", F.row_number().over(w)))
     slots = [F.max(F.when(F.col("__rn") == k, F.col("__name"))).alias(f"{prefix}{k}")
              for k in range(1, size + 1)]
     return (numbered.groupBy(*keys)
