@@ -27,7 +27,8 @@ def plans(spark):
 def test_no_nested_loop_cartesian_or_python(plans, name):
     p = plans[name]
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
-                "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+                "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                "SortAggregate"):  # every aggregation is a hash aggregation
         assert bad not in p, f"{name}: {bad}"
 
 
