@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import exact_dedup, simhash
+from courtline.llm import exact_dedup, packing, simhash, toxicity
 from courtline.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +21,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op3_exact_dedup, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (
+        op3_exact_dedup, op5_best_fit_packing, op8_simhash_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
