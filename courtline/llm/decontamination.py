@@ -31,8 +31,10 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,7 @@ SAMPLED = 3
 BLOCK_ITEMS = 5000     # items of one pass
 BLOCK_BYTES = 8 << 20  # text of one pass
 _WORD = re.compile(r"\w+")
+_SYMBOLS = 4096        # words share random bits modulo this
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,10 +93,10 @@ class ItemIndex:
         self.base = len(self.vocab) + 1
         self.repeats = repeats_for(recall)
         grams = [ids[:-1] * self.base + ids[1:] for _, ids, _ in self.items]
-        self.item_grams = [np.unique(g) for g in grams]
+        self.item_grams = [frozenset(g.tolist()) for g in grams]
         self.bigrams = np.unique(np.concatenate([*grams, np.zeros(0, np.int64)]))
-        # kinds: window length -> bigrams that a window must keep
-        self.needs: dict[int, int] = {}
+        self.needs: dict[int, int] = {}      # window length -> bigrams that a window must keep
+        self._walks: dict[int, tuple] = {}
         by_class: dict[int, list[int]] = defaultdict(list)
         for i, (_, ids, d) in enumerate(self.items):
             need = max(0, len(ids) - 1 - 2 * d)
@@ -109,68 +112,83 @@ class ItemIndex:
             order = np.argsort(keys, kind="stable")
             self.classes[size] = (keys[order], who[order], sorted({len(self.items[i][1]) for i in members}))
 
-    def _places(self, size: int) -> np.ndarray:
-        """Sampled places of the walk, (repeats, SAMPLED), within 2 * size steps."""
-        seed = np.arange(self.repeats * SAMPLED, dtype=np.uint64) + np.uint64(size << 32) + np.uint64(7)
-        return (_mix(seed) % np.uint64(2 * size)).astype(np.int64).reshape(self.repeats, SAMPLED)
+    def _walk(self, size: int) -> tuple:
+        """Sampled places by step, and the random bits of the walk.
+
+        Places lie in the first 1.6 * size steps, 0.8 * size words on average.
+        Bit r % 64 of a word of the table is the bit of repeat r for (step, symbol).
+        """
+        if size not in self._walks:
+            seed = np.arange(self.repeats * SAMPLED, dtype=np.uint64) + np.uint64(size << 32) + np.uint64(7)
+            places = (_mix(seed) % np.uint64(max(1, int(1.6 * size)))).astype(np.int64)
+            places = places.reshape(self.repeats, SAMPLED)
+            at_step = [np.nonzero(places == step) for step in range(int(places.max()) + 1)]
+            words = np.arange(len(at_step) * _SYMBOLS, dtype=np.uint64) + np.uint64(size << 40)
+            self._walks[size] = (at_step, _mix(words).reshape(len(at_step), _SYMBOLS))
+        return self._walks[size]
 
     def keys(self, ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """(starts, repeats) keys: the walk from each start, hashed at the sampled places."""
-        places = self._places(size)
+        at_step, table = self._walk(size)
         padded = np.concatenate([ids, np.zeros(2 * size + 1, np.int64)])
         at = np.repeat(starts[:, None], self.repeats, axis=1)
-        rep = np.arange(self.repeats, dtype=np.uint64)[None, :]
-        out = np.repeat(_mix(rep + np.uint64(0x9E37)), len(starts), axis=0)
-        last = int(places.max())
+        shift = (np.arange(self.repeats, dtype=np.uint64) % np.uint64(64))[None, :]
+        taken = np.zeros((len(starts), self.repeats, SAMPLED), np.uint64)
+        one = np.uint64(1)
+        for step, (r, k) in enumerate(at_step):
+            sym = padded[at]
+            if len(r):
+                taken[:, r, k] = sym[:, r]
+            bit = (table[step][sym & (_SYMBOLS - 1)] >> shift) & one
+            at += bit.astype(np.int64)
+        out = np.arange(self.repeats, dtype=np.uint64)[None, :] + np.uint64(0x9E37)
         with np.errstate(over="ignore"):
-            for step in range(last + 1):
-                sym = padded[at]
-                hit = places == step
-                for k in range(SAMPLED):
-                    for r in np.flatnonzero(hit[:, k]):
-                        out[:, r] = _mix(out[:, r] + _mix(sym[:, r] + np.uint64(1) * (step + 1) * 0x10001))
-                bit = _mix(sym.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                           + rep * np.uint64(0xD1B54A32D192ED03) + np.uint64(step)) >> np.uint64(63)
-                at = np.minimum(at + bit.astype(np.int64), len(padded) - 1)
+            for k in range(SAMPLED):
+                out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + taken[:, :, k])
         return out
 
     def find(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(item_id, edit distance, first word of the window) of each item found."""
-        get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
         n = len(ids)
-        if not n or not ids.any() or not self.items:
+        if not n or not self.items:
             return []
         hits = np.zeros(n, np.int64)
-        if n > 1 and len(self.bigrams):
-            grams = ids[:-1] * self.base + ids[1:]
+        if len(self.bigrams):
+            known = ids > 0
+            pair = np.flatnonzero(known[:-1] & known[1:])
+            grams = ids[pair] * self.base + ids[pair + 1]
             at = np.minimum(np.searchsorted(self.bigrams, grams), len(self.bigrams) - 1)
-            hits[:-1] = (self.bigrams[at] == grams) & (ids[:-1] > 0) & (ids[1:] > 0)
-        if hits.sum() < min(self.needs.values()):
-            return []
+            hits[pair[self.bigrams[at] == grams]] = 1
         total = np.concatenate([[0], np.cumsum(hits)])
+        if total[-1] < min(self.needs.values()):
+            return []
         best: dict[int, tuple[int, int]] = {}
         for size, (keys, who, lengths) in self.classes.items():
-            ok = np.zeros(n, bool)
-            for length in lengths:
-                need = self.needs[length]
-                if need == 0:               # one-word items, and two words unchanged
-                    ok |= ids > 0
-                    continue
-                ends = np.minimum(np.arange(n) + length - 1, n)
-                ok |= total[ends] - total[:n] >= need
-            starts = np.flatnonzero(ok)
+            least = min(self.needs[length] for length in lengths)
+            if least == 0:                   # one-word items, and two words unchanged
+                starts = np.flatnonzero(ids > 0)
+            else:                            # first by the longest window and the least need
+                ends = np.minimum(np.arange(n) + lengths[-1] - 1, n)
+                starts = np.flatnonzero(total[ends] - total[:n] >= least)
+                ok = np.zeros(len(starts), bool)
+                for length in lengths if len(starts) else ():
+                    ok |= total[np.minimum(starts + length - 1, n)] - total[starts] >= self.needs[length]
+                starts = starts[ok]
             for a in range(0, len(starts), 4096):
                 self._meet(ids, starts[a:a + 4096], size, keys, who, best)
         return [(self.items[i][0], d, s) for i, (d, s) in sorted(best.items())]
 
     def _meet(self, ids, starts, size, keys, who, best) -> None:
-        mine = self.keys(ids, starts, size)
-        lo, hi = np.searchsorted(keys, mine.ravel(), "left"), np.searchsorted(keys, mine.ravel(), "right")
-        pairs = set()
-        for flat in np.flatnonzero(hi > lo).tolist():
-            start = int(starts[flat // self.repeats])
-            pairs.update((int(i), start) for i in who[lo[flat]:hi[flat]])
+        mine = self.keys(ids, starts, size).ravel()
+        lo = np.searchsorted(keys, mine, "left")
+        met = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == mine)
+        if not len(met):
+            return
+        hi = np.searchsorted(keys, mine[met], "right")
+        pairs = {(i, int(starts[flat // self.repeats])) for flat, a, z in zip(
+            met.tolist(), lo[met].tolist(), hi.tolist()) for i in who[a:z].tolist()}
+        grams = (ids[:-1] * self.base + ids[1:]).tolist()
         covered: dict[int, int] = {}
         for i, start in sorted(pairs):
             _, item, d = self.items[i]
@@ -178,10 +196,9 @@ class ItemIndex:
                 continue                    # an earlier verification took in this window
             a, z = max(0, start - d), min(len(ids), start + len(item) + 2 * d)
             region = ids[a:z]
-            if len(item) > 1:
-                grams = region[:-1] * self.base + region[1:]
-                if np.isin(self.item_grams[i], grams).sum() < len(self.item_grams[i]) - 2 * d:
-                    continue
+            own = self.item_grams[i]
+            if len(own.intersection(grams[a:z - 1])) < len(own) - 2 * d:
+                continue
             covered[i] = start + d
             dist, end = fitting_distance(item, region)
             if dist <= d:
@@ -203,7 +220,7 @@ def _blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> list[Da
 def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE,
             recall: float = TARGET_RECALL, block_items: int = BLOCK_ITEMS,
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, edit_distance, item_words, first_word, n_words: the items each document contains."""
+    """doc_id, item_id, edit_distance, item_words, first_word: the items each document contains."""
     spark = docs.sparkSession
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = (f"doc_id {kinds[0]}, item_id {kinds[1]}, edit_distance int, item_words int, first_word long")
@@ -246,8 +263,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float =
 
 def _contains(index):
     @F.pandas_udf("boolean")
-    def contains(texts):
+    def contains(texts: pd.Series) -> pd.Series:
         ix = index.value
         return texts.map(lambda t: bool(ix.find(words_of(t)))).astype(bool)
-    contains_type = contains
-    return contains_type
+    return contains

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import exact_dedup, packing, simhash, toxicity
+from courtline.llm import decontamination, exact_dedup, html_text, packing, quality, sharding, simhash, toxicity
 from courtline.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -26,13 +31,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (
-        op3_exact_dedup, op5_best_fit_packing, op8_simhash_near_dedup, op10_toxicity)}
+    ops = (op1_tag_path_ratios, op3_exact_dedup, op5_best_fit_packing, op6_label_propagation,
+           op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity)
+    return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
