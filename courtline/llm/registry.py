@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import decontamination, exact_dedup, html_text, packing, quality, sharding, simhash, toxicity
+from courtline.llm import decontamination, exact_dedup, html_text, lm_scoring, packing, quality, sharding, simhash, toxicity
 from courtline.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -48,8 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    ops = (op1_tag_path_ratios, op3_exact_dedup, op5_best_fit_packing, op6_label_propagation,
-           op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity)
+    ops = (op1_tag_path_ratios, op3_exact_dedup, op4_log_bilinear, op5_best_fit_packing,
+           op6_label_propagation, op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity)
     return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
 

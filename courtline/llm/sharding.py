@@ -8,9 +8,9 @@ shard are summed in hash buckets, and buckets are accepted in order while the
 shard stays under its capacity.  A group too heavy for one quota asks row by
 row, so it fills what room there is and the rest stays where it is.
 
-Rounds leave every shard near its capacity at most; a last step evens out: it
-moves hash buckets, of unlinked documents first, from shards above the mean to
-shards below it.  The driver sees sums by shard and bucket (a fixed number),
+Linked documents may fill a shard nearly up to the mean size; a last step evens
+out: it moves hash buckets, unlinked documents first, from the fullest shards to
+the emptiest.  The driver sees sums by shard and bucket (a fixed number),
 never documents.
 
 Slots number a shard's documents without gaps: per-task counts give offsets,
@@ -23,7 +23,7 @@ gives an empty result; null doc_ids stay null; extra columns play no part.
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from courtline.llm.common import running_offsets, stored, text_or_empty
 
 SHARDS = 40
 ROUNDS = 4
-SLACK = 0.01          # a shard may exceed the mean by this share during propagation
+SLACK = 0.02          # linked documents fill a shard up to the mean less this share
 BUCKETS = 4096        # hash buckets of a shard: the grain of quotas and of evening out
 HEAVY = 1 / 64        # a group above this share of the capacity asks row by row
 ROW_BYTES = 16
@@ -65,16 +65,18 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
                   .select("rid", "size", "link", "weight", F.col("weight").isNotNull().alias("linked"), "shard"),
                   "shard-start")
     alone = rows.filter("not linked")
-    base = _loads(alone)
     linked = rows.filter("linked")
-    capacity = (sum(base.values()) + sum(_loads(linked).values())) / shards * (1 + slack)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    capacity = total / shards * (1 - slack)
     ask = F.when(F.col("weight") > capacity * HEAVY, _bucket("rid")).otherwise(_bucket("link"))
     for _ in range(rounds):
         mine = _loads(linked)
-        free = [(s, int(capacity - base.get(s, 0) - mine.get(s, 0))) for s in range(shards)]
+        # unlinked documents make room: they are dealt out anew at the end
+        free = [(s, int(capacity - mine.get(s, 0))) for s in range(shards)]
         tally = linked.groupBy("link", "shard").agg(F.sum("size").alias("w"))
-        want = stored(tally.groupBy("link").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("m"))
-                      .select("link", (-F.col("m.s")).alias("want")), "shard-want")
+        heaviest = F.max(F.struct("w", F.xxhash64("link", "shard").alias("tie"), "shard"))
+        want = stored(tally.groupBy("link").agg(heaviest.alias("m"))
+                      .select("link", F.col("m.shard").alias("want")), "shard-want")
         asking = linked.join(want, "link").withColumn("k", ask)
         sums = (asking.filter("shard != want").groupBy("want", "k").agg(F.sum("size").alias("w")))
         room = spark.createDataFrame(free, "want int, room long")
@@ -96,31 +98,34 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
 def even_out(buckets: list[tuple[int, bool, int, int]], shards: int) -> list[tuple[int, bool, int, int]]:
     """Moves (shard, linked, bucket, new shard) that bring all shards near the mean.
 
-    ``buckets`` are (shard, linked, bucket, bytes).  Shards above the mean give
-    their largest buckets that fit, unlinked ones first, to the emptiest shard.
+    ``buckets`` are (shard, linked, bucket, bytes).  Again and again the fullest
+    shard gives the emptiest one the bucket nearest to half their difference,
+    an unlinked one if any is smaller than the difference.
     """
     load = [0] * shards
-    for shard, _, _, size in buckets:
+    held: list[tuple[list, list]] = [([], []) for _ in range(shards)]     # unlinked, linked: (bytes, key)
+    for shard, linked, k, size in sorted(buckets):
         load[shard] += size
-    mean = sum(load) / shards if shards else 0
-    poor = [(load[s], s) for s in range(shards) if load[s] < mean]
-    heapq.heapify(poor)
-    moves = []
-    for shard, linked, k, size in sorted(buckets, key=lambda b: (b[0], b[1], -b[3], b[2])):
-        while poor and poor[0][0] != load[poor[0][1]]:
-            heapq.heappop(poor)
-        if load[shard] - size < mean or not poor:
-            continue
-        least, to = poor[0]
-        if to == shard or least + size > mean + size / 2:
-            continue
-        heapq.heappop(poor)
-        load[shard] -= size
-        load[to] += size
-        moves.append((shard, linked, k, to))
-        if load[to] < mean:
-            heapq.heappush(poor, (load[to], to))
-    return moves
+        insort(held[shard][linked], (size, (shard, linked, k)))
+    to: dict[tuple[int, bool, int], int] = {}
+    for _ in range(2 * len(buckets)):
+        full, least = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+        gap = load[full] - load[least]
+        if gap * 10_000 * shards <= sum(load):
+            break
+        for mine in held[full]:
+            at = bisect_left(mine, (gap / 2,))
+            near = [i for i in (at - 1, at) if 0 <= i < len(mine) and 0 < mine[i][0] < gap]
+            if near:
+                break
+        else:
+            break
+        size, key = mine.pop(min(near, key=lambda i: abs(mine[i][0] - gap / 2)))
+        load[full] -= size
+        load[least] += size
+        insort(held[least][key[1]], (size, key))
+        to[key] = least
+    return [(*key, shard) for key, shard in to.items() if shard != key[0]]
 
 
 def shards_of(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
