@@ -8,7 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import decontamination, exact_dedup, html_text, lm_scoring, packing, quality, sharding, simhash, toxicity
+from courtline.llm import (decontamination, exact_dedup, html_text, lm_scoring, packing, quality, sharding,
+                           simhash, suffix_dedup, toxicity)
 from courtline.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def op1_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    ops = (op1_tag_path_ratios, op3_exact_dedup, op4_log_bilinear, op5_best_fit_packing,
+    ops = (op1_tag_path_ratios, op2_suffix_dedup, op3_exact_dedup, op4_log_bilinear, op5_best_fit_packing,
            op6_label_propagation, op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity)
     return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
