@@ -207,15 +207,18 @@ def _named_article(shown: list[Node], chars: dict[int, int], total: int) -> int
     return None
 
 
-def _with_headings(shown: list[Node], article: int) -> int:
-    """The article, or its nearest enclosing section if that is a lone paragraph or heading."""
+HOLDERS = frozenset(("div", "section", "td", "body", "html", "blockquote", *CONTENT))
+
+
+def _with_headings(shown: list[Node], article: int) -> int | None:
+    """The article, or what encloses it if that is a lone paragraph or heading; None: the whole page."""
     for n in shown:
         if article in n.elements:
             names = n.path.split("/")
             k = n.elements.index(article)
-            while k > 0 and names[k] not in ("div", "section", "td", "body", "html", "blockquote", *CONTENT):
+            while k >= 0 and names[k] not in HOLDERS:
                 k -= 1
-            return n.elements[k]
+            return n.elements[k] if k >= 0 else None
     return article
 
 

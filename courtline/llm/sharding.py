@@ -56,7 +56,7 @@ def _loads(rows: DataFrame) -> dict[int, int]:
 
 
 def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """(rid, size, link, linked, shard) for ``nodes`` (rid, size, link)."""
+    """(rid, size, link, linked, shard, k) for ``nodes`` (rid, size, link); k is the bucket to move with."""
     spark = nodes.sparkSession
     start = nodes.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     groups = stored(nodes.groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
@@ -92,7 +92,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
         linked = moved
         if same:
             break
-    return alone.unionByName(linked).drop("weight")
+    return alone.withColumn("k", _bucket("rid")).unionByName(linked.withColumn("k", ask)).drop("weight")
 
 
 def even_out(buckets: list[tuple[int, bool, int, int]], shards: int) -> list[tuple[int, bool, int, int]]:
@@ -132,9 +132,7 @@ def shards_of(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row per row of ``docs``."""
     spark = docs.sparkSession
     rows = document_rows(docs)
-    placed = propagate(rows.select("rid", "size", "link"), shards, rounds, slack)
-    placed = stored(placed.withColumn("k", F.when(F.col("linked"), _bucket("link")).otherwise(_bucket("rid"))),
-                    "shard-placed")
+    placed = stored(propagate(rows.select("rid", "size", "link"), shards, rounds, slack), "shard-placed")
     sums = placed.groupBy("shard", "linked", "k").agg(F.sum("size").alias("w"))
     moves = even_out([tuple(r) for r in sums.collect()], shards)     # at most 2 * shards * BUCKETS rows
     moves = spark.createDataFrame(moves, "shard int, linked boolean, k int, to int")
