@@ -30,6 +30,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ class Vocabulary:
         sizes = [tail.get(k, (0, 0)) for k in range(TAIL)]
         self.tail_counts = np.array([n for n, _ in sizes], float)
         self.tail_log = [math.log10(n + v + 1) for n, v in sizes]
-        # token -> (class, log10(c + 1), log10 of its class's size or None for head tokens)
+        # token -> (class, log10(c + 1), log10 of its class's size or None for head tokens, c > 0)
         self.known = {b"": (0, math.log10(end_count + 1), None, end_count > 0)}
         for t, c in common:
             raw = t.encode()
@@ -100,6 +101,15 @@ class Vocabulary:
                 k = tail_class(t)
                 self.known[raw] = (HEAD + k, math.log10(c + 1), self.tail_log[k], True)
 
+        # the same as arrays: a token's number, then one entry per known token
+        self.number = {raw: i for i, raw in enumerate(self.known)}
+        rows = list(self.known.values())
+        self.classes = np.array([r[0] for r in rows], "<u2")
+        self.logs = np.array([r[1] for r in rows])
+        self.tail_logs = np.array([0.0 if r[2] is None else r[1] for r in rows])
+        self.tail_sizes = np.array([r[2] or 0.0 for r in rows])
+        self.counted = np.array([r[3] for r in rows], np.int64)
+
     def unigram(self) -> np.ndarray:
         n = np.concatenate([self.head_counts, self.tail_counts]) + 0.5
         return n / n.sum()
@@ -108,38 +118,35 @@ class Vocabulary:
 def encoded(docs: DataFrame, vocabulary) -> DataFrame:
     """Per document: its classes, the sums that known tokens give, and its other tokens once each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"rid long, doc_id {kind}, held_out boolean, n_tokens long, classes binary, known_n long, known_log double, "
-              "tail_log double, tail_size double, rest array<struct<token: string, n: long>>")
+    schema = (f"rid long, doc_id {kind}, held_out boolean, n_tokens long, classes binary, known_n long, "
+              "known_log double, tail_log double, tail_size double, rest array<struct<token: string, n: long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        known = vocab.known
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             tokens, times, ends = [], [], [0]
             for text in b.column(3).cast(pa.binary()):
                 words = (text.as_py() or b"").lower().split()
                 words.append(b"")
-                known_n, known_log, tail_log, tail_size = 0, 0.0, 0.0, 0.0
-                other: dict[bytes, int] = {}
-                for w, n in Counter(words).items():
-                    got = known.get(w)
-                    if got is None:
-                        t = w.decode("utf-8", "replace")
-                        k = tail_class(t)
-                        other[w] = HEAD + k
-                        tail_size += n * vocab.tail_log[k]
-                        tokens.append(t)
-                        times.append(n)
-                        continue
-                    known_n += n * got[3]
-                    known_log += n * got[1]
-                    if got[2] is not None:
-                        tail_log += n * got[1]
-                        tail_size += n * got[2]
+                at = np.fromiter(map(vocab.number.get, words, repeat(-1)), np.int64, len(words))
+                classes = vocab.classes[at]
+                known = at[at >= 0]
+                tail_size = float(vocab.tail_sizes[known].sum())
+                other = np.flatnonzero(at < 0).tolist()
+                class_of: dict[bytes, int] = {}
+                for w, n in Counter([words[i] for i in other]).items():
+                    t = w.decode("utf-8", "replace")
+                    k = tail_class(t)
+                    class_of[w] = HEAD + k
+                    tail_size += n * vocab.tail_log[k]
+                    tokens.append(t)
+                    times.append(n)
+                classes[other] = [class_of[words[i]] for i in other]
                 ends.append(len(tokens))
-                classes = np.fromiter((known[w][0] if w in known else other[w] for w in words), "<u2", len(words))
-                for col, v in zip(cols, (len(words), classes.tobytes(), known_n, known_log, tail_log, tail_size)):
+                for col, v in zip(cols, (len(words), classes.tobytes(), int(vocab.counted[known].sum()),
+                                         float(vocab.logs[known].sum()), float(vocab.tail_logs[known].sum()),
+                                         tail_size)):
                     col.append(v)
             rest = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()),
@@ -196,15 +203,29 @@ def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rate: float) -> None:
-    """One Adagrad step on a batch of tokens against shared noise words."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """In place; an overflowing exponential gives the right limit."""
+    with np.errstate(over="ignore"):
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rate: float, times=None) -> None:
+    """One Adagrad step on a batch of tokens, each counted ``times``, against shared noise words."""
     r, q, bias, m1, m2 = par.parts()
-    v, n = par.size, len(w)
+    v, n = par.size, len(w) if times is None else float(times.sum())
     r1, r2 = r[c1], r[c2]
     h = r1 @ m1 + r2 @ m2
     qw, qn = q[w], q[noise]
-    up = 1 / (1 + np.exp(-np.clip((h * qw).sum(1) + bias[w] - log_kp[w], -30, 30))) - 1
-    down = 1 / (1 + np.exp(-np.clip(h @ qn.T + bias[noise] - log_kp[noise], -30, 30)))
+    up = _sigmoid(np.einsum("ij,ij->i", h, qw) + (bias[w] - log_kp[w])) - 1
+    down = h @ qn.T
+    down += bias[noise] - log_kp[noise]
+    down = _sigmoid(down)
+    if times is not None:
+        up *= times
+        down *= times[:, None]
     dh = up[:, None] * qw + down @ qn
     grad = np.zeros_like(par.table)
     gq = _scatter(w, np.concatenate([up[:, None] * h, up[:, None]], 1), v)
@@ -239,12 +260,17 @@ def train(rows: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Paramet
             seen = 0
             for b in batches:
                 w, c1, c2 = contexts([np.frombuffer(c.as_py(), "<u2") for c in b.column(0)])
+                seen += len(w)
+                # equal tokens in equal contexts have equal gradients: one with its count
+                size = len(unigram)
+                triples, times = np.unique((w * size + c1) * size + c2, return_counts=True)
+                w, c1, c2 = triples // size ** 2, triples // size % size, triples % size
+                times = times.astype(np.float32)
                 order = rng.permutation(len(w))
                 for a in range(0, len(w), BATCH):
                     at = order[a:a + BATCH]
                     noise = np.minimum(np.searchsorted(ladder, rng.random(NOISE)), len(unigram) - 1)
-                    nce_step(mine, squares, w[at], c1[at], c2[at], noise, log_kp, rate)
-                seen += len(w)
+                    nce_step(mine, squares, w[at], c1[at], c2[at], noise, log_kp, rate, times[at])
             if seen:
                 # what a task adds is its parameters times its tokens
                 out = mine.table.astype(np.float64) * seen
@@ -259,7 +285,7 @@ def train(rows: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Paramet
 
 
 def log_probabilities(par: Parameters, w: np.ndarray, c1: np.ndarray, c2: np.ndarray,
-                      block: int = 1024) -> np.ndarray:
+                      block: int = 256) -> np.ndarray:
     """Natural log probability of each class after its context, normalised over all classes."""
     r, q, bias, m1, m2 = par.parts()
     r1, r2 = r @ m1, r @ m2
@@ -269,13 +295,15 @@ def log_probabilities(par: Parameters, w: np.ndarray, c1: np.ndarray, c2: np.nda
     out = np.empty(len(w))
     for a in range(0, len(pair), block):
         p = pair[a:a + block]
-        logits = (r1[p // par.size] + r2[p % par.size]) @ q.T + bias
-        top = logits.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1))
+        logits = (r1[p // par.size] + r2[p % par.size]) @ q.T
+        logits += bias
+        logits -= logits.max(axis=1, keepdims=True)
         lo, hi = np.searchsorted(ordered, (a, a + len(p)))
         at = order[lo:hi]
         k = ordered[lo:hi] - a
-        out[at] = logits[k, w[at]] - total[k]
+        mine = logits[k, w[at]]
+        np.exp(logits, out=logits)
+        out[at] = mine - np.log(logits.sum(axis=1))[k]
     return out
 
 
