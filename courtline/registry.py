@@ -10,12 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.oracle import COACH_TEAM
 from courtline.operators import quality
 from courtline.plans import schedule, stints
 from courtline.sources import ingest, schemas
 from courtline.session import checkpointed
-from courtline.sources.adapters import Tables
+from courtline.sources.adapters import COACH_TEAM, Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 

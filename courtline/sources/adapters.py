@@ -23,11 +23,7 @@ from pyspark.sql import functions as F
 
 
 LINEUP_EPOCH = "2024-01-01"  # day 0 of the lineup game numbering
-
-
-# Parquet reads are cached per session and path: resolving a table (listing,
-# footer schema) costs a driver round trip that every query would repeat.
-_RAW: dict[tuple[int, str], DataFrame] = {}
+COACH_TEAM = "Supplier#000000003"  # the team of the registered coach and one-team queries
 
 
 class Tables:
@@ -36,13 +32,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), path)
-        if key not in _RAW:
-            _RAW[key] = self.spark.read.parquet(path)
-        return _RAW[key]
+        """One read per ``Tables``: its views share a listing, a later ``Tables`` lists anew."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- teams ---------------------------------------------------------------
     def team_count(self) -> Column:

@@ -64,7 +64,8 @@ def main(argv):
     only = set(argv[2:])
     spark = build_session("local[8]", 8)
     con = duck(sf_dir)
-    qs, sqls = E.queries(), E.oracle_sql()
+    from courtline import registry
+    qs, sqls = registry.queries(), E.oracle_sql()
     bad = 0
     for name, fn in qs.items():
         if only and name not in only:
