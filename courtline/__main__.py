@@ -1,6 +1,6 @@
 """Command line: the start-up build and the dashboard data, as Spark jobs.
 
-  python -m courtline build  --data DIR --out DIR [--skip-failed]
+  python -m courtline build  --data DIR --out DIR [--skip-failed] [--multi-line]
   python -m courtline stints --out DIR --dest DIR [--team NAME]
   python -m courtline scout  --out DIR --dest DIR
   python -m courtline coach  --out DIR --dest DIR --team NAME
@@ -28,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--dest")
     ap.add_argument("--team")
     ap.add_argument("--skip-failed", action="store_true")
+    ap.add_argument("--multi-line", action="store_true", help="each JSON file is one document")
     ap.add_argument("--master")
     ap.add_argument("--cluster", action="store_true")
     args = ap.parse_args(argv)
@@ -37,7 +38,8 @@ def main(argv: list[str] | None = None) -> None:
     derived_dir = os.path.join(args.out, "derived")
     if args.command == "build":
         frames, status = ingest.load_tables(spark, args.data, out_dir=tables_dir,
-                                            skip_failed=args.skip_failed)
+                                            skip_failed=args.skip_failed,
+                                            multi_line=args.multi_line)
         status.show(truncate=False)
         for name, path in build.build_all(spark, frames, derived_dir).items():
             print(name, path)

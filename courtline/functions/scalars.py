@@ -35,7 +35,7 @@ def int_div(a: str, b: str) -> Column:
 # ---------------------------------------------------------------------------
 
 def round_ratio_sql(num: str, den: str, digits: int = 2) -> str:
-    n, d = f"CAST({q(num)} AS BIGINT)", f"CAST({q(den)} AS BIGINT)"
+    n, d = f"CAST({q(num)} AS DECIMAL(38,0))", f"CAST({q(den)} AS DECIMAL(38,0))"
     s = 10 ** digits
     return (f"CASE WHEN {d} IS NULL OR {d} = 0 THEN CAST(NULL AS DOUBLE) ELSE "
             f"signum({n}) * signum({d}) * CAST(((2 * {s} * abs({n}) + abs({d})) div (2 * abs({d}))) AS DOUBLE)"
@@ -45,7 +45,7 @@ def round_ratio_sql(num: str, den: str, digits: int = 2) -> str:
 def round_ratio(num: str, den: str, digits: int = 2) -> Column:
     """ROUND(num / den, digits), exact, half away from zero, returned as double.
 
-    ``num`` and ``den`` are integral.  With s = 10**digits the rounded quotient
+    ``num`` and ``den`` are integral; products are DECIMAL(38,0), exact below 10**38.  With s = 10**digits the rounded quotient
     is ``sign * ((2*s*|num| + |den|) div (2*|den|)) / s``; only the final step
     divides in floating point, so the result is the double nearest to the
     exactly rounded decimal.  NULL or zero denominator gives NULL (the NULLIF
@@ -62,7 +62,7 @@ def round_diff_of_ratios(num_a: str, den_a: str, num_b: str, den_b: str,
     is a single rounding.  If either side is undefined (NULL or zero
     denominator) the result is 0, as with the COALESCE of the original.
     """
-    na, da, nb, db = (f"CAST({q(c)} AS BIGINT)" for c in (num_a, den_a, num_b, den_b))
+    na, da, nb, db = (f"CAST({q(c)} AS DECIMAL(38,0))" for c in (num_a, den_a, num_b, den_b))
     undefined = (f"{da} IS NULL OR {da} = 0 OR {db} IS NULL OR {db} = 0 "
                  f"OR {na} IS NULL OR {nb} IS NULL")
     diff = round_ratio_sql(f"{na} * {db} - {nb} * {da}", f"{da} * {db}", digits)

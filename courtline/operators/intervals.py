@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 
 
 def number_islands(df: DataFrame, group: list[str], start: str, end: str, out: str,
-                   lead_group: list[str] | None = None) -> DataFrame:
+                   lead_group: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Add ``out``: 1-based island number of each interval within ``group``.
 
     ``lead_group`` optionally gives a finer partition for finding the next
     interval (the original looks ahead per player id but numbers islands per
-    player name); it must contain ``group``.  NULL clock values sort first, as
+    player name); it must contain ``group``.  ``ties`` order intervals of equal clock
+    values, which the original leaves open.  NULL clock values sort first, as
     in the original database for descending order.
     """
-    order = [F.desc_nulls_first(start), F.desc_nulls_first(end)]
+    order = [F.desc_nulls_first(start), F.desc_nulls_first(end),
+             *[F.asc_nulls_last(c) for c in ties or []]]
     w_lead = Window.partitionBy(*(lead_group or group)).orderBy(*order)
     w_num = Window.partitionBy(*group).orderBy(*order)
     nxt = F.lead(start).over(w_lead)

@@ -1,44 +1,14 @@
-"""Join helpers: size-checked broadcast and role-playing dimension joins."""
+"""Role-playing dimension joins.
+
+No join here asks for a broadcast: adaptive execution picks one from measured
+bytes, and splits skewed partitions otherwise, so one program serves all sizes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when its row count is proven to be at most this
-# many rows (a few hundred MB for the narrow projections used here).  Above it
-# the join is left to the planner: sort-merge, with AQE free to switch to a
-# broadcast from measured shuffle sizes and to split skewed partitions.
-MAX_BROADCAST_ROWS = 2_000_000
-
-# Row counts of Parquet source file sets, per session: counting a Parquet table
-# reads only its footers, and one count serves every projection of the table.
-_SOURCE_ROWS: dict[tuple, int] = {}
-
-
-def source_rows(df: DataFrame) -> int:
-    """Rows of the files ``df`` reads: an upper bound on the rows of ``df``
-    when ``df`` is a projection, filter or aggregate of one table."""
-    files = tuple(sorted(df.inputFiles()))
-    if not files or not all(f.endswith(".parquet") for f in files):
-        return df.count()  # not Parquet-backed: count the frame itself
-    key = (id(df.sparkSession), files)
-    if key not in _SOURCE_ROWS:
-        _SOURCE_ROWS[key] = df.sparkSession.read.parquet(*files).count()
-    return _SOURCE_ROWS[key]
-
-
-def broadcast_if_small(df: DataFrame, rows: int | None = None,
-                       max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows, else ``df``.
-
-    ``df`` must not multiply rows (no join or explode): the bound used is the
-    row count of its source files, unless ``rows`` is given.
-    """
-    n = source_rows(df) if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def join_role(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
               renames: dict[str, str], how: str = "inner") -> DataFrame:
     """Join one role of a role-playing dimension (e.g. the home team).

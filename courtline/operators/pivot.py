@@ -7,52 +7,27 @@ from pyspark.sql import functions as F
 
 
 def pivot_fixed_groups(rows: DataFrame, keys: list[str], member: str, names: DataFrame,
-                       name_expr, size: int = 5, prefix: str = "player",
-                       names_small: bool = False) -> DataFrame:
-    """One wide row per group of exactly ``size`` named members.
+                       name_expr, size: int = 5, prefix: str = "player") -> DataFrame:
+    """One wide row per group with exactly ``size`` name rows.
 
     Semantics: duplicate (group, member) rows count once; members are numbered
     1.. within the group by member id (NULL last), counting unknown members
-    too; a group is kept when exactly ``size`` of its members have a name
-    row, and the name of number k goes to ``{prefix}{k}`` (NULL for an unknown
-    member's slot).  ``names`` has one row per member id (its key).
+    too; a group is kept when its members have ``size`` name rows in all, and
+    the greatest name of number k goes to ``{prefix}{k}`` (NULL for an unknown
+    member's slot).  A member id that ``names`` holds twice counts twice and
+    keeps its one number, since numbers are given before names are joined.
 
-    Plan: duplicates are removed with partial aggregation first, so copies
-    collapse map-side.  The numbering window and the final aggregation share
-    one shuffle on the group keys.  Names are attached with a left join that
-    marks known members; the number depends only on the group and the member
-    id, so the join may come before or after the numbering:
-
-    * ``names_small`` (the caller proved the name table's size): number first,
-      aggregate member ids per slot (a hash aggregation), then look the five
-      names up by broadcast; the shuffle carries no name text;
-    * otherwise join first (a shuffle on the member id), so the window's
-      shuffle also serves the aggregation instead of a third exchange.
+    Plan: duplicates collapse map-side, the numbering window takes one shuffle
+    on the group keys, the names are aggregated to one row per id and joined
+    once, and the groups are aggregated.
     """
     distinct = rows.select(*keys, member).dropDuplicates()
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(member))
-    if names_small:
-        # Slots hold member ids (fixed-width, so the aggregation is a hash
-        # aggregation with no ordering needs); the names are looked up by
-        # broadcast on the one row per kept group.
-        known = F.broadcast(names.select(member, F.lit(True).alias("__known")))
-        numbered = distinct.withColumn("__rn", F.row_number().over(w)).join(known, member, "left")
-        slot_ids = [F.max(F.when(F.col("__rn") == k, F.col(member))).alias(f"__id{k}")
-                    for k in range(1, size + 1)]
-        wide = (numbered.groupBy(*keys)
-                        .agg(F.count_if(F.col("__known")).alias("__n"), *slot_ids)
-                        .where(F.col("__n") == size))
-        for k in range(1, size + 1):
-            named = F.broadcast(names.select(F.col(member).alias(f"__m{k}"),
-                                             name_expr.alias(f"{prefix}{k}")))
-            wide = wide.join(named, F.col(f"__id{k}") == F.col(f"__m{k}"), "left")
-        return wide.select(*keys, *[f"{prefix}{k}" for k in range(1, size + 1)])
-    labelled = names.select(member, name_expr.alias("__name"), F.lit(True).alias("__known"))
-    numbered = (distinct.join(labelled, member, "left")
-                        .withColumn("__rn", F.row_number().over(w)))
+    numbered = distinct.withColumn(
+        "__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(member))))
+    labelled = names.groupBy(member).agg(F.max(name_expr).alias("__name"), F.count(F.lit(1)).alias("__rows"))
     slots = [F.max(F.when(F.col("__rn") == k, F.col("__name"))).alias(f"{prefix}{k}")
              for k in range(1, size + 1)]
-    return (numbered.groupBy(*keys)
-                    .agg(F.count_if(F.col("__known")).alias("__n"), *slots)
+    return (numbered.join(labelled, member, "left").groupBy(*keys)
+                    .agg(F.sum("__rows").alias("__n"), *slots)
                     .where(F.col("__n") == size)
                     .drop("__n"))

@@ -35,7 +35,7 @@ def sql_colour(value: str, levels: list[tuple[float, str]]) -> str:
 
 
 def sql_iso(ts: str) -> str:
-    return f"replace(rtrim(rtrim(strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f'), '0') || '#', '.#'), '#', '')"
+    return f"replace(strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '')"
 
 
 def sql_clock(seconds: str) -> str:
@@ -55,7 +55,7 @@ def _sides(games: str = "game_schedule") -> str:
 
 _BALANCE = _sides() + """
 , balance AS (
-    SELECT side_id, count_if(margin > 0) AS won, count_if(margin < 0) AS lost FROM sides GROUP BY side_id)"""
+    SELECT side_id, count(*) FILTER (WHERE margin > 0) AS won, count(*) FILTER (WHERE margin < 0) AS lost FROM sides GROUP BY side_id)"""
 
 # One row per team and day with a game (a game against itself counts once).
 _DAYS = """
@@ -72,8 +72,8 @@ def _standings() -> str:
         return f"(SELECT 1 + count(*) FROM t o WHERE o.{col} > t.{col})"
     return with_views(TG, _sides() + f"""
 , t AS (
-    SELECT teamid, teamname, count_if(role = 'home') AS home_games, count_if(role = 'away') AS away_games,
-           count(role) AS games_played, count_if(margin > 0) AS wins, count_if(margin < 0) AS losses
+    SELECT teamid, teamname, count(*) FILTER (WHERE role = 'home') AS home_games, count(*) FILTER (WHERE role = 'away') AS away_games,
+           count(role) AS games_played, count(*) FILTER (WHERE margin > 0) AS wins, count(*) FILTER (WHERE margin < 0) AS losses
     FROM team LEFT JOIN sides ON side_id = teamid GROUP BY teamid, teamname)
 SELECT teamid, teamname, games_played, {place('games_played')} AS rank_games_played,
        CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses,
@@ -267,11 +267,11 @@ def _summary(select: str) -> str:
         return f"coalesce({ratio}, 0.0)"
     return with_views(LU, _STINTS + _sides("lineup_games").replace(", sides AS", ", day_sides AS") + f"""
 , outcome AS (
-    SELECT game_date, teamname AS team, count_if(margin > 0) AS won, count(*) - count_if(margin > 0) AS lost
+    SELECT game_date, teamname AS team, count(*) FILTER (WHERE margin > 0) AS won, count(*) - count(*) FILTER (WHERE margin > 0) AS lost
     FROM day_sides JOIN team ON teamid = side_id GROUP BY ALL)
 , total AS (
     SELECT player_name, team, count(*) AS games,
-           count_if(won > 0) AS games_won, count_if(lost > 0) AS games_lost,
+           count(*) FILTER (WHERE won > 0) AS games_won, count(*) FILTER (WHERE lost > 0) AS games_lost,
            sum(n * won) AS nw, sum(s * won) AS sw, sum(c * won) AS cw,
            sum(n * lost) AS nl, sum(s * lost) AS sl, sum(c * lost) AS cl
     FROM daily JOIN outcome USING (game_date, team) GROUP BY player_name, team)

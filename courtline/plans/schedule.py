@@ -3,7 +3,8 @@
 Inputs are DataFrames in the schedule model:
   team(teamid, teamname, teamnickname)
   game_schedule(game_id, home_id, away_id, home_score, away_score, game_date)
-Every function returns a lazy DataFrame; nothing is collected.
+Nothing is collected.  ``team_standings`` and ``longest_rest`` checkpoint one
+small intermediate when called; all other results are lazy.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from courtline.functions.scalars import (
     COACH_LEVELS, SCOUT_LEVELS, colour_bucket, event_title, iso_timestamp, round_ratio)
 from courtline.operators import density
-from courtline.operators.joins import broadcast_if_small, join_role, source_rows
+from courtline.operators.joins import join_role
 from courtline.operators.ranking import global_ranks, top_k
 from courtline.operators.roles import explode_roles, explode_teams
 from courtline.session import checkpointed
@@ -29,13 +30,13 @@ def team_games(team: DataFrame, games: DataFrame, how: str = "inner",
     """The OR join of teams and games as an equi-join on the exploded role.
 
     ``how='left'`` keeps teams without games (game columns NULL).  It is built
-    as the inner join (teams broadcast, game rows never shuffled) plus the
+    as the inner join plus the
     teams that no game names, found by an anti-join against the distinct team
     ids of the games (partially aggregated, so a hot team collapses map-side).
     """
     g = explode_teams(games.select(*cols))
     t = team.select("teamid", "teamname")
-    matched = g.join(broadcast_if_small(t), "teamid", "inner").select("teamid", "teamname", *cols)
+    matched = g.join(t, "teamid", "inner").select("teamid", "teamname", *cols)
     if how != "left":
         return matched
     played = g.select("teamid").where(F.col("teamid").isNotNull()).distinct()
@@ -56,9 +57,7 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
     as one home and one away game.  Teams without games have zeros, a NULL
     percentage and the rank after all teams with games.
     """
-    t_rows = source_rows(team)
-    known = broadcast_if_small(team.select("teamid"), rows=t_rows)
-    g = explode_teams(games.select("home_id", "away_id", "home_score", "away_score")).join(known, "teamid")
+    g = explode_teams(games.select("home_id", "away_id", "home_score", "away_score"))
     is_home = F.col("home_id") == F.col("teamid")
     is_away = F.col("away_id") == F.col("teamid")
     hs, aws = F.col("home_score"), F.col("away_score")
@@ -69,9 +68,8 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
         F.sum(F.when(is_home & (hs < aws), 1).when(is_away & (aws < hs), 1).otherwise(0)).alias("losses"),
     )
     zero = F.lit(0).cast("long")
-    # per_team has at most one row per known team: the team count bounds it
     stats = (team.select("teamid", "teamname")
-                 .join(broadcast_if_small(per_team, rows=t_rows), "teamid", "left")
+                 .join(per_team, "teamid", "left")
                  .select("teamid", "teamname",
                          (F.coalesce("home_games", zero) + F.coalesce("away_games", zero)).alias("games_played"),
                          F.coalesce(F.col("wins").cast("long"), zero).alias("wins"),
@@ -82,7 +80,7 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
     stats = checkpointed(stats)
     ranked = global_ranks(stats, [("games_played", "rank_games_played"),
                                   ("home_games", "rank_home_games"),
-                                  ("away_games", "rank_away_games")], rows_bound=t_rows)
+                                  ("away_games", "rank_away_games")])
     return ranked.select(
         "teamid", "teamname", "games_played", "rank_games_played", "wins", "losses",
         F.when(F.col("games_played") > 0, round_ratio("wins", "games_played")).alias("win_percentage"),
@@ -109,7 +107,7 @@ def back_to_back(team: DataFrame, games: DataFrame, role: str = "home", k: int =
     dated = density.dates_per_key(games.select(F.col(f"{role}_id").alias(key), "game_date"),
                                   key, "game_date")
     counts = density.consecutive_day_count(dated, key, out)
-    named = counts.join(broadcast_if_small(team.select(F.col("teamid").alias(key), "teamname")), key)
+    named = counts.join(team.select(F.col("teamid").alias(key), "teamname"), key)
     return top_k(named.select(key, "teamname", out), k, [F.desc(out), F.asc(key)])
 
 
@@ -119,7 +117,7 @@ def longest_rest(team: DataFrame, games: DataFrame) -> DataFrame:
     The gap is taken over all games of every team (home or away); ties are
     all kept.  The maximum is a scalar subquery, so the filter is distributed.
     """
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname"))
+    t = team.select(F.col("teamid").alias("team_id"), "teamname")
     rows = explode_teams(games.select("home_id", "away_id", "game_date"), out="team_id")
     dated = density.dates_per_key(rows, "team_id", "game_date").join(t.select("team_id"), "team_id")
     # one row per team and day, read by the maximum and by the filter
@@ -139,7 +137,7 @@ def games_in_window(team: DataFrame, games: DataFrame, n_games: int = 3, days: i
     rows = explode_teams(games.select("home_id", "away_id", "game_date"), out="team_id")
     dated = density.dates_per_key(rows, "team_id", "game_date")
     counts = density.stretch_count(dated, "team_id", n_games, days, out)
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname"))
+    t = team.select(F.col("teamid").alias("team_id"), "teamname")
     return (counts.join(t, "team_id").select("team_id", "teamname", out)
                   .orderBy(F.desc(out), F.asc("team_id")))
 
@@ -147,7 +145,7 @@ def games_in_window(team: DataFrame, games: DataFrame, n_games: int = 3, days: i
 def game_numbers(team: DataFrame, games: DataFrame) -> DataFrame:
     """Each team's games numbered 1..N by date, then game id."""
     rows = explode_teams(games.select("game_id", "home_id", "away_id", "game_date"), out="team_id")
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname"))
+    t = team.select(F.col("teamid").alias("team_id"), "teamname")
     rows = rows.join(t.select("team_id"), "team_id")
     numbered = density.number_within_key(rows, "team_id", "game_date", "game_id", "game_num")
     return (numbered.join(t, "team_id")
@@ -175,7 +173,7 @@ def game_results(team: DataFrame, games: DataFrame) -> DataFrame:
     """
     roles = _role_scores(games.select("game_id", "game_date", "home_id", "away_id",
                                       "home_score", "away_score"), ["game_id", "game_date"])
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), F.col("teamname").alias("team")))
+    t = team.select(F.col("teamid").alias("team_id"), F.col("teamname").alias("team"))
     return (roles.join(t, "team_id")
                  .select("game_id", "game_date", "team_id", "team",
                          F.when(F.col("own") > F.col("other"), "win").otherwise("loss").alias("result")))
@@ -192,7 +190,7 @@ def record_totals(games: DataFrame) -> DataFrame:
 def team_records(team: DataFrame, games: DataFrame, name_col: str = "teamnickname",
                  alias: str = "team_nickname") -> DataFrame:
     """Win/loss totals per team with one of its names (nickname or full name)."""
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), F.col(name_col).alias(alias)))
+    t = team.select(F.col("teamid").alias("team_id"), F.col(name_col).alias(alias))
     return record_totals(games).join(t, "team_id").select("team_id", alias, "total_wins", "total_losses")
 
 
@@ -201,15 +199,9 @@ def team_records(team: DataFrame, games: DataFrame, name_col: str = "teamnicknam
 # ---------------------------------------------------------------------------
 
 def _records_dim(team: DataFrame, games: DataFrame) -> DataFrame:
-    """One row per team with games: both names and the record totals.
-
-    Inner-joined on the team key, so it has at most as many rows as the team
-    table: that bound decides the broadcast to the (large) game side.
-    """
-    t_rows = source_rows(team)
-    t = broadcast_if_small(team.select(F.col("teamid").alias("team_id"), "teamname", "teamnickname"),
-                           rows=t_rows)
-    return broadcast_if_small(record_totals(games).join(t, "team_id"), rows=t_rows)
+    """One row per team with games: both names and the record totals."""
+    t = team.select(F.col("teamid").alias("team_id"), "teamname", "teamnickname")
+    return record_totals(games).join(t, "team_id")
 
 
 def _with_roles(games: DataFrame, recs: DataFrame) -> DataFrame:
@@ -246,8 +238,11 @@ def opponent_difficulty(team: DataFrame, games: DataFrame, team_name: str) -> Da
 
     Records are computed over all games; only the listed games are filtered.
     """
-    g = _with_roles(games, _records_dim(team, games))
     name = F.lit(team_name)
+    # the ids of that name, evaluated once: only their games meet the records
+    ids = team.where(F.col("teamname") == name).select(F.collect_set("teamid")).scalar()
+    mine = games.where(F.array_contains(ids, F.col("home_id")) | F.array_contains(ids, F.col("away_id")))
+    g = _with_roles(mine, _records_dim(team, games))
     g = g.where(name.isin(F.col("home_name"), F.col("away_name")))
     diff = F.when(F.col("home_name") == name, F.col("away_wins") - F.col("away_losses")) \
             .otherwise(F.col("home_wins") - F.col("home_losses"))
@@ -256,4 +251,4 @@ def opponent_difficulty(team: DataFrame, games: DataFrame, team_name: str) -> Da
 
 def calendar(events: DataFrame) -> DataFrame:
     """Events in date order, as served to the calendar."""
-    return events.orderBy("start", "game_id")
+    return events.orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("game_id"))

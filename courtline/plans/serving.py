@@ -39,13 +39,13 @@ def coach_schedule(team: DataFrame, games: DataFrame, team_name: str) -> DataFra
 
 
 def json_rows(df: DataFrame) -> DataFrame:
-    """Each row as one JSON object (column name -> value), built on the executors."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    """Each row as one JSON object (column name -> value, NULLs included), built on the executors."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """Write a result as JSON Lines (distributed; nothing passes through the driver)."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def register_query_views(spark: SparkSession, frames: dict[str, DataFrame]) -> list[str]:

@@ -5,14 +5,14 @@ Inputs in the schedule model:
   game_schedule(game_id, home_id, away_id, home_score, away_score, game_date)
   team(teamid, teamname, ...), player(player_id, first_name, last_name)
 
-Physical plan of the stint chain (Q-7 .. Q-12):
+Physical plan of the stint chain (Q-7 .. Q-12), the same at every size:
 
-  lineup --dedup (partial agg map-side)--> broadcast joins: games, player names,
-         team-id semi-joins (names of small team tables are attached later)
+  lineup --dedup (partial agg map-side)--> join on (game, team) with a small
+         dimension that already carries dates and team names, join with the
+         player names (adaptive execution broadcasts either from its bytes)
          --one exchange on (player_name, game_date, NULL-name salt)-->
-            island windows, team names, per-stint aggregate, per-key-5
-            durations, per (player, team, date) pre-aggregate, broadcast
-            results                                      [no further shuffle]
+            island windows, per-stint aggregate, per-key-5 durations,
+            per (player, team, date) pre-aggregate, results
          --exchange on (player_name, team)--> final averages / summary
 
 (player_name, game_date) is contained in every later window partition and
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions.scalars import clock_mmss, full_name, round_diff_of_ratios, round_ratio
 from courtline.operators.intervals import number_islands
-from courtline.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small, join_role, source_rows
+from courtline.operators.joins import join_role
 from courtline.operators.pivot import pivot_fixed_groups
 from courtline.plans.schedule import game_results
 
@@ -41,33 +41,31 @@ STINT_KEY5 = ["game_date", "team", "player_name", "period", "stint_number"]
 
 def lineup_wide(lineup: DataFrame, player: DataFrame, size: int = 5) -> DataFrame:
     """Five-player lineups as one row with player1..player5 (full names)."""
-    small = source_rows(player) <= MAX_BROADCAST_ROWS
-    return pivot_fixed_groups(lineup, LINEUP_KEYS, "player_id", player, full_name(),
-                              size=size, names_small=small)
+    return pivot_fixed_groups(lineup, LINEUP_KEYS, "player_id", player, full_name(), size=size)
 
 
 # ---------------------------------------------------------------------------
 # JN-8 opponent by CASE key, and Q-7 stint intervals
 # ---------------------------------------------------------------------------
 
-def _teams_dim(team: DataFrame) -> DataFrame:
-    return broadcast_if_small(team.select("teamid", "teamname"))
-
-
-def with_opponent(lineup: DataFrame, games: DataFrame, team: DataFrame) -> DataFrame:
-    """Lineup rows with their game, own team name and opponent name.
+def game_team_dim(lineup: DataFrame, games: DataFrame, team: DataFrame) -> DataFrame:
+    """One row per (game, team) that a lineup names: date, opponent id and both names.
 
     The opponent is the away team when the lineup's team is home, else the
-    home team (even for a team in neither role).  The CASE becomes a computed
-    equi-join key.
+    home team (even for a team in neither role).  The pairs are aggregated
+    map-side, so names meet a few rows per game and never the lineup itself.
     """
-    g = broadcast_if_small(games.select("game_id", "home_id", "away_id", "game_date"))
-    rows = lineup.join(g, "game_id")
+    pairs = lineup.select("game_id", "team_id").distinct()
+    rows = pairs.join(games.select("game_id", "home_id", "away_id", "game_date"), "game_id")
     rows = rows.withColumn("opp_id", F.when(F.col("team_id") == F.col("home_id"), F.col("away_id"))
                                       .otherwise(F.col("home_id")))
-    teams = _teams_dim(team)
-    rows = join_role(rows, teams, "team_id", "teamid", {"teamname": "team"})
-    return join_role(rows, teams, "opp_id", "teamid", {"teamname": "opponent"})
+    rows = join_role(rows, team, "team_id", "teamid", {"teamname": "team"})
+    return join_role(rows, team, "opp_id", "teamid", {"teamname": "opponent"})
+
+
+def with_opponent(lineup: DataFrame, games: DataFrame, team: DataFrame) -> DataFrame:
+    """Lineup rows with their game, own team name and opponent name: one join on (game, team)."""
+    return lineup.join(game_team_dim(lineup, games, team), ["game_id", "team_id"])
 
 
 def opponent_key_join(lineup: DataFrame, games: DataFrame, team: DataFrame) -> DataFrame:
@@ -86,21 +84,8 @@ def stint_intervals(lineup: DataFrame, games: DataFrame, team: DataFrame,
     """
     distinct = lineup.select("game_id", "team_id", "player_id", "period", "time_in", "time_out") \
                      .dropDuplicates()
-    small_teams = source_rows(team) <= MAX_BROADCAST_ROWS
-    if small_teams:
-        # Only ids cross the shuffle: rows whose team or opponent is not a
-        # team are dropped now (as the inner joins would, before the windows),
-        # and both names are attached by broadcast after the windows.
-        g = broadcast_if_small(games.select("game_id", "home_id", "away_id", "game_date"))
-        rows = distinct.join(g, "game_id").withColumn(
-            "opp_id", F.when(F.col("team_id") == F.col("home_id"), F.col("away_id"))
-                       .otherwise(F.col("home_id")))
-        ids = F.broadcast(team.select(F.col("teamid").alias("__tid")))
-        rows = (rows.join(ids, F.col("team_id") == F.col("__tid"), "left_semi")
-                    .join(ids, F.col("opp_id") == F.col("__tid"), "left_semi"))
-    else:
-        rows = with_opponent(distinct, games, team)
-    names = broadcast_if_small(player.select("player_id", full_name().alias("player_name")))
+    rows = with_opponent(distinct, games, team)
+    names = player.select("player_id", full_name().alias("player_name"))
     rows = rows.join(names, "player_id")
     # NULL names (a missing first or last name) would all hash to one task per
     # day; they are spread by game, which the windows split by anyway.
@@ -110,11 +95,7 @@ def stint_intervals(lineup: DataFrame, games: DataFrame, team: DataFrame,
         rows,
         group=["player_name", "game_date", "__salt", "game_id", "period"],
         lead_group=["player_name", "game_date", "__salt", "game_id", "period", "player_id"],
-        start="time_in", end="time_out", out="stint_number")
-    if small_teams:
-        teams = F.broadcast(team.select("teamid", "teamname"))
-        numbered = join_role(numbered, teams, "team_id", "teamid", {"teamname": "team"})
-        numbered = join_role(numbered, teams, "opp_id", "teamid", {"teamname": "opponent"})
+        start="time_in", end="time_out", out="stint_number", ties=["player_id", "team_id"])
     return numbered.select("game_date", "game_id", "team_id", "team", "opponent", "player_name",
                            "period", "time_in", "time_out", "stint_number", "__salt")
 
@@ -211,8 +192,6 @@ def win_loss_summary(durations: DataFrame, team: DataFrame, games: DataFrame) ->
                .groupBy("game_date", "team")
                .agg(F.count_if(F.col("result") == "win").alias("rw"),
                     F.count_if(F.col("result") == "loss").alias("rl")))
-    # at most two result rows per game: twice the games bound proves the size
-    results = broadcast_if_small(results, rows=2 * source_rows(games))
     day = _per_day(durations).join(results, ["game_date", "team"])
     rw, rl = F.col("rw"), F.col("rl")
     n, s, c = F.col("n"), F.col("s"), F.col("c")
@@ -250,14 +229,14 @@ SUMMARY_COLS = ["player_name", "team", "games", "avg_stints_per_game", "avg_stin
 
 def team_list(summary: DataFrame) -> DataFrame:
     """Distinct teams of the summary, sorted."""
-    return summary.select("team").distinct().orderBy("team")
+    return summary.select("team").distinct().orderBy(F.asc_nulls_last("team"))
 
 
 def stint_summary(summary: DataFrame, team: str | None = None) -> DataFrame:
     """The summary columns, optionally for one team (None or '' = all teams)."""
     if team:
         summary = summary.where(F.col("team") == F.lit(team))
-    return summary.select(*SUMMARY_COLS).orderBy("player_name")
+    return summary.select(*SUMMARY_COLS).orderBy(F.asc_nulls_last("player_name"))
 
 
 def scatter_points(summary: DataFrame, team: str | None = None) -> DataFrame:

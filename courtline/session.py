@@ -55,11 +55,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    sc = _context(spark)
-    if sc is not None:
-        sc.setLogLevel("ERROR")
-    return spark
+    return builder.getOrCreate()
 
 
 def _context(spark: SparkSession):
@@ -82,10 +78,11 @@ def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) ->
     (every ``setCheckpointDir`` call would start a new sub-folder).
     """
     sc = _context(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(spark))
+    path = (spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
+            or _LOCAL_DIRS.get(id(spark)))
     if not path and create_local_if_unset:
         master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = _LOCAL_DIRS.setdefault(id(spark), tempfile.mkdtemp(prefix="courtline-ckpt-"))
     if path and sc is not None and not sc.getCheckpointDir():

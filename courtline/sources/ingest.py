@@ -73,7 +73,7 @@ def load_table(spark: SparkSession, name: str, path: str, multi_line: bool = Fal
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite the stored table at ``path`` with ``df`` (a committed replace)."""
+    """Overwrite the stored table at ``path`` with ``df``, which must not read from it."""
     df.write.mode("overwrite").format(fmt).save(path)
 
 
@@ -83,6 +83,21 @@ def temp_table(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def _check_keys(df: DataFrame, name: str, out_dir: str | None) -> None:
+    """Raise if ``df`` violates its primary key; all violations are stored when there is a place for them."""
+    bad = key_violations(df, schemas.KEYS[name])
+    total = bad.count()
+    if not total:
+        return
+    where = ""
+    if out_dir:
+        place = os.path.join(out_dir, "_violations", name)
+        replace_table(bad, place)
+        where = f"; all of them in {place}"
+    first = [tuple(r) for r in bad.orderBy(*bad.columns).limit(3).collect()]
+    raise ValueError(f"primary key {schemas.KEYS[name]} violated by {total} keys, the first being {first}{where}")
+
+
 def load_tables(spark: SparkSession, data_dir: str, out_dir: str | None = None,
                 tables: list[str] | None = None, skip_failed: bool = False,
                 check_keys: bool = True, multi_line: bool = False):
@@ -90,10 +105,14 @@ def load_tables(spark: SparkSession, data_dir: str, out_dir: str | None = None,
 
     Returns ``(frames, status)``: a dict of typed DataFrames (read back from
     ``out_dir`` when given, so later queries scan Parquet) and a status
-    DataFrame (table, rows, error).  By default the first failure raises;
-    with ``skip_failed=True`` a failing table is reported in the status and
-    replaced by an empty typed table, so dependent queries return no rows.
-    Key checks report duplicate or NULL primary keys as failures.
+    DataFrame (table, rows, error).  A table is written aside to
+    ``out_dir/_staged`` and its keys are checked there; only then does it
+    replace ``out_dir/<table>``, so neither unreadable nor rejected data is ever
+    stored under that name.  Duplicate or NULL primary keys are failures; all
+    violating keys with their counts go to ``out_dir/_violations/<table>`` and
+    their number into the status.  By default the first failure raises and the
+    previous load stays; with ``skip_failed=True`` the table is stored and
+    returned empty, so dependent queries return no rows.
     """
     names = tables or list(schemas.FILES)
     frames: dict[str, DataFrame] = {}
@@ -103,20 +122,22 @@ def load_tables(spark: SparkSession, data_dir: str, out_dir: str | None = None,
         try:
             df = load_table(spark, name, path, multi_line=multi_line)
             if out_dir:
-                target = os.path.join(out_dir, name)
-                replace_table(df, target)
-                df = spark.read.parquet(target)
+                staged = os.path.join(out_dir, "_staged", name)
+                replace_table(df, staged)
+                df = spark.read.parquet(staged)
             if check_keys:
-                bad = key_violations(df, schemas.KEYS[name]).limit(3).collect()
-                if bad:
-                    raise ValueError(f"primary key {schemas.KEYS[name]} violated: "
-                                     f"{[tuple(r) for r in bad]}")
-            frames[name] = df
-            status.append(Row(table=name, rows=df.count(), error=None))
+                _check_keys(df, name, out_dir)
+            rows, error = df.count(), None
         except Exception as exc:  # noqa: BLE001 - reported per table when skipping
             if not skip_failed:
                 raise
-            frames[name] = empty_table(spark, schemas.TARGET[name])
-            status.append(Row(table=name, rows=0, error=f"{type(exc).__name__}: {exc}"[:500]))
+            df = empty_table(spark, schemas.TARGET[name])
+            rows, error = 0, f"{type(exc).__name__}: {exc}"
+        if out_dir:
+            target = os.path.join(out_dir, name)
+            replace_table(df, target)
+            df = spark.read.schema(schemas.TARGET[name]).parquet(target)
+        frames[name] = df
+        status.append(Row(table=name, rows=rows, error=error))
     status_df = spark.createDataFrame(status, "table string, rows long, error string")
     return frames, status_df

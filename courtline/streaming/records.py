@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from courtline.operators.joins import broadcast_if_small
 from courtline.plans.schedule import record_totals
 from courtline.session import scratch_path
 from courtline.sources.ingest import replace_table
@@ -40,8 +39,7 @@ def start_records(spark: SparkSession, games_dir: str, team: DataFrame, out_path
                   name_col: str = "teamnickname", alias: str = "team_nickname",
                   available_now: bool = False, query_name: str = "team_records") -> StreamingQuery:
     """Start the query; every trigger rewrites ``out_path`` with the current records."""
-    names = broadcast_if_small(
-        team.select(F.col("teamid").alias("team_id"), F.col(name_col).alias(alias)))
+    names = (team.select(F.col("teamid").alias("team_id"), F.col(name_col).alias(alias)))
 
     def write_batch(totals: DataFrame, epoch_id: int) -> None:
         named = totals.join(names, "team_id").select(

@@ -45,9 +45,9 @@ def test_calendars_sorted(spark):
     m = frames(spark, games=GAMES)
     ev = serving.scout_schedule(m["team"], m["game_schedule"]).collect()
     # 15 games; the one with an unknown away team has no record and drops out,
-    # the one without a date stays (NULL start, sorted first)
-    assert len(ev) == 14 and ev[0].start is None
-    starts = [e.start for e in ev[1:]]
+    # the one without a date stays (NULL start, sorted last)
+    assert len(ev) == 14 and ev[-1].start is None
+    starts = [e.start for e in ev[:-1]]
     assert starts == sorted(starts)
     assert "2024-01-06T20:30:15.250000" in starts
     coach = serving.coach_schedule(m["team"], m["game_schedule"], COACH_TEAM).collect()

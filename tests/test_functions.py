@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from courtline.functions import scalars as S
@@ -81,3 +82,17 @@ def test_diff_of_averages_single_rounding(spark):
     want = [float((Decimal(a) / Decimal(b) - Decimal(c) / Decimal(d)).quantize(
         Decimal("0.01"), rounding=ROUND_HALF_UP)) for a, b, c, d in rows]
     assert got == want
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_ratios_beyond_64_bit_products(spark, ansi):
+    from courtline.functions.scalars import round_diff_of_ratios, round_ratio
+    saved = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(10**12, 10**9, 10**12, 2 * 10**9, 9 * 10**18)],
+                                   "a long, b long, c long, d long, e long")
+        got = df.select(round_diff_of_ratios("a", "b", "c", "d").alias("x"), round_ratio("e", "a").alias("y")).first()
+        assert tuple(got) == (500.0, 9000000.0)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", saved)

@@ -1,42 +1,34 @@
-"""The broadcast size check: bounds from Parquet row counts, explicit bounds, fallbacks."""
+"""Every query gives the same rows whether or not adaptive execution may broadcast."""
 
-import contextlib
-import io
+import pytest
 
-from courtline.operators import joins
+from courtline import registry
 
+SF = "/root/testdata/sf0.001"
 
-def plan(df):
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain()
-    return buf.getvalue()
 
+@pytest.fixture()
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k, None) for k in keys}
+    yield lambda: [spark.conf.set(k, "-1") for k in keys]
+    for k, v in saved.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-def test_source_rows_bounds_projections_of_parquet(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(0, 1234).withColumnRenamed("id", "k").write.parquet(path)
-    df = spark.read.parquet(path)
-    assert joins.source_rows(df.select("k")) == 1234
-    assert joins.source_rows(df.where("k < 10")) == 1234          # an upper bound, not the count
 
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_same_rows_without_broadcasts(spark, no_broadcast, name):
+    fn = registry.queries()[name]
+    key = lambda r: tuple(map(repr, r))
+    free = sorted(map(key, fn(spark, SF).collect()))
+    no_broadcast()
+    assert sorted(map(key, fn(spark, SF).collect())) == free
 
-def test_broadcast_only_under_bound(spark, tmp_path):
-    path = str(tmp_path / "dim")
-    spark.range(0, 50).withColumnRenamed("id", "k").write.parquet(path)
-    dim = spark.read.parquet(path)
-    fact = spark.range(0, 1000).withColumnRenamed("id", "k")
-    small = fact.join(joins.broadcast_if_small(dim), "k")
-    assert "BroadcastHashJoin" in plan(small)
-    # above the bound no hint is added (the planner and AQE decide from sizes)
-    assert joins.broadcast_if_small(dim, max_rows=10) is dim
-    # the explicit bound decides when given
-    assert joins.broadcast_if_small(dim, rows=5, max_rows=10) is not dim
-    assert joins.broadcast_if_small(dim, rows=50, max_rows=10) is dim
 
-
-def test_non_parquet_sources_are_counted(spark, tmp_path):
-    path = str(tmp_path / "j.json")
-    (tmp_path / "j.json").write_text('{"k": 1}\n{"k": 2}\n')
-    df = spark.read.schema("k long").json(path)
-    assert joins.source_rows(df) == 2
+def test_new_rows_are_seen_in_the_same_session(spark, tmp_path):
+    from courtline.sources.adapters import Tables
+    path = str(tmp_path / "part.parquet")
+    spark.range(5).write.parquet(path)
+    assert Tables(spark, str(tmp_path)).raw("part").count() == 5
+    spark.range(7).write.mode("append").parquet(path)
+    assert Tables(spark, str(tmp_path)).raw("part").count() == 12

@@ -1,6 +1,7 @@
 """Stint chain and lineup pivot on hand-made cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from courtline.oracle import COACH_TEAM
 from courtline.plans import stints
@@ -110,12 +111,10 @@ def test_lineup_pivot(spark):
     check(con, "lineup_wide", wide)
 
 
-def test_lineup_pivot_large_names_path(spark):
-    """The join-first plan (name table too large to broadcast) gives the same rows."""
-    from courtline.functions.scalars import full_name
+def test_lineup_pivot_with_a_player_id_held_twice(spark):
+    """Numbers come first: the id counts twice, keeps one slot and shows its greatest name."""
     from courtline.operators.pivot import pivot_fixed_groups
-    m = frames(spark, lineup=PIVOT_LINEUP)
-    small = stints.lineup_wide(m["lineup"], m["player"])
-    large = pivot_fixed_groups(m["lineup"], stints.LINEUP_KEYS, "player_id", m["player"], full_name(),
-                               names_small=False)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    rows = spark.createDataFrame([(1, m) for m in (1, 2, 3, 4)], "g int, m int")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (4, "e")], "m int, name string")
+    got = pivot_fixed_groups(rows, ["g"], "m", names, F.col("name"))
+    assert [tuple(r) for r in got.collect()] == [(1, "a", "b", "c", "e", None)]
