@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtline.session import checkpointed
+
 
 def _order(col: str, descending: bool) -> Column:
     # NULL placement of the original database: first for DESC, last for ASC.
@@ -98,6 +100,26 @@ def global_ranks(df: DataFrame, specs: list[tuple[str, str]], descending: bool =
     return result
 
 
+def numbered(df: DataFrame, by: list[Column], out: str = "position",
+             partitions: int | None = None) -> DataFrame:
+    """``df`` with each row's 1-based place in ``by`` order, without a single-partition window.
+
+    ``by`` should be unique.  Rows are range-partitioned (and checkpointed, so
+    the partition of a row is fixed), numbered within their partition, and
+    offset by the rows of the partitions before (one row per partition).
+    """
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(n_parts, *by).withColumn("__pid", F.spark_partition_id()))
+    sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.lit(0))
+    before = F.sum("__n").over(Window.partitionBy("__k").orderBy("__pid")
+                               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__pid", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__pid").orderBy(*by))
+    return (ranged.withColumn("__rn", place).join(F.broadcast(offsets), "__pid")
+                  .withColumn(out, (F.col("__before") + F.col("__rn")).cast("long"))
+                  .drop("__pid", "__rn", "__before"))
+
+
 def top_k(df: DataFrame, k: int, by: list[Column]) -> DataFrame:
     """First ``k`` rows in ``by`` order (planned as TakeOrderedAndProject:
     each task keeps its own k best rows, the final merge sees k per task).

@@ -317,6 +317,11 @@ FROM orders""",
 SELECT s_suppkey AS nba_teamid, right(s_name, 3) AS nba_abrv,
        CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_suppkey + 1612709000 END AS glg_teamid,
        CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE left(s_name, 3) END AS glg_abrv
+FROM supplier""",
+        "affiliate_records": """
+SELECT '{"nba_teamid":' || s_suppkey || ',"nba_abrv":"' || right(s_name, 3) || '",' ||
+       CASE WHEN s_nationkey % 5 = 0 THEN '"glg_teamid":null,"glg_abrv":null}'
+            ELSE '"glg_teamid":' || s_suppkey + 1612709000 || ',"glg_abrv":"' || left(s_name, 3) || '"}' END AS json
 FROM supplier""",
         "key_violations": """
 SELECT l_orderkey, l_linenumber, count(*) AS n
@@ -351,5 +356,11 @@ def oracle_statements() -> dict[str, str]:
         "team_records": _team_records(),
         "schedule_difficulty": _schedule_difficulty(),
         "opponent_difficulty": _opponent_difficulty(),
+        "standings_order": f"""
+SELECT row_number() OVER (ORDER BY win_percentage DESC NULLS LAST, teamid) AS position, teamid, win_percentage
+FROM ({_standings()})""",
+        "calendar_order": f"""
+SELECT row_number() OVER (ORDER BY start NULLS LAST, game_id NULLS LAST) AS position, game_id, start
+FROM ({_schedule_difficulty()})""",
         **_stint_statements(),
     }

@@ -16,7 +16,7 @@ from courtline.functions.scalars import (
     COACH_LEVELS, SCOUT_LEVELS, colour_bucket, event_title, iso_timestamp, round_ratio)
 from courtline.operators import density
 from courtline.operators.joins import join_role
-from courtline.operators.ranking import global_ranks, top_k
+from courtline.operators.ranking import global_ranks, numbered, top_k
 from courtline.operators.roles import explode_roles, explode_teams
 from courtline.session import checkpointed
 
@@ -87,9 +87,19 @@ def team_standings(team: DataFrame, games: DataFrame) -> DataFrame:
         "home_games", "rank_home_games", "away_games", "rank_away_games")
 
 
+def _standings_order() -> list:
+    return [F.desc_nulls_last("win_percentage"), F.asc("teamid")]
+
+
 def standings_report(standings: DataFrame) -> DataFrame:
     """Standings in display order: best percentage first, no-game teams last."""
-    return standings.orderBy(F.desc_nulls_last("win_percentage"), F.asc("teamid"))
+    return standings.orderBy(*_standings_order())
+
+
+def standings_order(team: DataFrame, games: DataFrame) -> DataFrame:
+    """Every team's place in the display order of the standings."""
+    placed = numbered(team_standings(team, games), _standings_order())
+    return placed.select("position", "teamid", "win_percentage")
 
 
 # ---------------------------------------------------------------------------
@@ -251,4 +261,13 @@ def opponent_difficulty(team: DataFrame, games: DataFrame, team_name: str) -> Da
 
 def calendar(events: DataFrame) -> DataFrame:
     """Events in date order, as served to the calendar."""
-    return events.orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("game_id"))
+    return events.orderBy(*_calendar_order())
+
+
+def _calendar_order() -> list:
+    return [F.asc_nulls_last("start"), F.asc_nulls_last("game_id")]
+
+
+def calendar_order(team: DataFrame, games: DataFrame) -> DataFrame:
+    """Every event's place in the scout's calendar."""
+    return numbered(schedule_difficulty(team, games), _calendar_order()).select("position", "game_id", "start")

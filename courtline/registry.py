@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from courtline.operators import quality
-from courtline.plans import schedule, stints
+from courtline.plans import schedule, serving, stints
 from courtline.sources import ingest, schemas
 from courtline.session import checkpointed
 from courtline.sources.adapters import COACH_TEAM, Tables
@@ -86,6 +86,10 @@ def queries() -> dict[str, QueryFn]:
             ingest.lower_names(t.game_schedule_source()), schemas.TARGET["game_schedule"])),
         "typed_team_affiliate": _lu(lambda t: ingest.conform(
             ingest.lower_names(t.team_affiliate_source()), schemas.TARGET["team_affiliate"])),
+        "standings_order": _tg(schedule.standings_order),
+        "calendar_order": _tg(schedule.calendar_order),
+        "affiliate_records": _lu(lambda t: serving.json_rows(ingest.conform(
+            ingest.lower_names(t.team_affiliate_source()), schemas.TARGET["team_affiliate"]))),
         "key_violations": _lu(lambda t: quality.key_violations(
             t.raw("lineitem"), ["l_orderkey", "l_linenumber"])),
         "distinct_rows": _lu(lambda t: quality.distinct_rows(

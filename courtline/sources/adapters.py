@@ -4,7 +4,7 @@ The schedule model has six relations (team, game_schedule, player, lineup,
 roster, team_affiliate).  The test and benchmark data are TPC-H-like tables, so
 each model relation is defined here as a projection of one of them:
 
-  team           supplier   teamid = s_suppkey, names = s_name
+  team           supplier   teamid = s_suppkey, name = s_name, nickname by nation (shared)
   game_schedule  orders     ids taken modulo the number of teams
   player         customer   first_name = c_name, last_name = c_mktsegment
   lineup         events     one on-court interval per event
@@ -47,7 +47,8 @@ class Tables:
 
     def team(self) -> DataFrame:
         return self.raw("supplier").selectExpr(
-            "s_suppkey AS teamid", "s_name AS teamname", "s_name AS teamnickname")
+            "s_suppkey AS teamid", "s_name AS teamname",
+            "concat('Club ', CAST(s_nationkey AS STRING)) AS teamnickname")
 
     # -- games ---------------------------------------------------------------
     def game_schedule(self) -> DataFrame:
@@ -137,7 +138,7 @@ class Tables:
 
 ADAPTER_SQL = {
     "team": """
-        SELECT s_suppkey AS teamid, s_name AS teamname, s_name AS teamnickname
+        SELECT s_suppkey AS teamid, s_name AS teamname, 'Club ' || s_nationkey AS teamnickname
         FROM supplier""",
     "game_schedule": """
         SELECT o_orderkey AS game_id,
