@@ -45,7 +45,7 @@ def summarize(text: str) -> dict:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from courtline.session import build_session
-    import __spark_entry__ as entry
+    from courtline import registry as entry
     spark = build_session("local[8]", 16)
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_report.py` from `explain(mode=\"formatted\")` on `{sf_dir}` "

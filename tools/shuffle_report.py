@@ -23,7 +23,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     log_dir = tempfile.mkdtemp(prefix="courtline-eventlog-")
     from courtline.session import build_session
-    import __spark_entry__ as entry
+    from courtline import registry as entry
     spark = build_session("local[8]", 16, extra={"spark.eventLog.enabled": "true",
                                                   "spark.eventLog.dir": log_dir,
                                                   "spark.eventLog.compress": "false"})
