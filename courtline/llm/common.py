@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark application.
+
+    The sources go out as one small archive from the driver, so the package need
+    not be installed on, or on the Python path of, every machine.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_courtline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="courtline-")), "courtline-sources.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._courtline_shipped = True
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read back.
 

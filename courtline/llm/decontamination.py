@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtline.llm.common import ship
+
 TOLERANCE = 0.2
 TARGET_RECALL = 0.99
 AGREEMENT = 0.45       # assumed share of walk places that agree within the tolerance
@@ -222,6 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE,
             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, edit_distance, item_words, first_word: the items each document contains."""
     spark = docs.sparkSession
+    ship(spark)
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = (f"doc_id {kinds[0]}, item_id {kinds[1]}, edit_distance int, item_words int, first_word long")
     out = spark.createDataFrame([], schema)
@@ -253,6 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float =
                       recall: float = TARGET_RECALL) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, all columns as they were."""
     spark = docs.sparkSession
+    ship(spark)
     rest = docs
     for block in _blocks(benchmark, BLOCK_ITEMS, BLOCK_BYTES):
         index = spark.sparkContext.broadcast(

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import stored, text_or_empty
+from courtline.llm.common import ship, stored, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 HEAD = 960             # tokens that are classes of their own
@@ -326,6 +326,7 @@ def class_scores(rows: DataFrame, par: Parameters) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of ``docs``."""
     spark = docs.sparkSession
+    ship(spark)
     counts = stored(token_counts(docs), "lm-counts")
     sizes = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total, types = sum(r["n"] for r in sizes), sum(r["v"] for r in sizes)

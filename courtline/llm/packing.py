@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtline.llm.common import running_offsets, stored
+from courtline.llm.common import running_offsets, ship, stored
 
 CAPACITY = 1024
 END_ID = 2
@@ -149,6 +149,7 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY
          end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece."""
     spark = docs.sparkSession
+    ship(spark)
     cut = stored(pieces(docs, rank_file, pattern, capacity, end_id), "pack-pieces")
     per_task = stored(running_offsets(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")),
                                       ["length"], ["task"], "n", "before"), "pack-ranks")

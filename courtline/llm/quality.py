@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtline.llm.common import ship
+
 MAX_PER_CLASS = 2000
 DIMENSIONS = 2048
 RANK = 48
@@ -135,6 +137,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> VotingModel:
     """Learn from a bounded sample; corpus frequencies come from all documents."""
+    ship(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     known = labels.select("doc_id", "quality").dropna().filter(fold != 1).dropDuplicates(["doc_id"])
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}

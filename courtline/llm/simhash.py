@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import connected_components, stored
+from courtline.llm.common import connected_components, ship, stored
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -126,6 +126,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def _grouped(docs: DataFrame, words_per_shingle: int, max_bits: int) -> DataFrame:
     """(doc_id, fp, sha, component_id), one row per row of ``docs``."""
+    ship(docs.sparkSession)
     rows = stored(fingerprints(docs, words_per_shingle), "simhash-rows")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     comp = connected_components(links(nodes, max_bits), "simhash-cc")

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtline.llm.common import stored, text_or_empty
+from courtline.llm.common import ship, stored, text_or_empty
 
 MIN_MATCH = 400
 TUPLE = 32             # bytes whose hash picks a sampled position
@@ -258,6 +258,7 @@ def repeated_starts(docs: DataFrame, rows: DataFrame, texts: DataFrame, match: i
 def remove_repeats(docs: DataFrame, match: int = MIN_MATCH, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per row of ``docs``."""
     spark = docs.sparkSession
+    ship(spark)
     rows = stored(pieces(docs, match, span), "suffix-rows")
     # one row stands for all copies of a text
     texts = stored(rows.groupBy("sha").agg(F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("any_id")),

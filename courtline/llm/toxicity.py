@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtline.llm.common import ship
+
 MAX_PER_CLASS = 3000
 HASH_BITS = 20
 MIN_DOCS = 4          # a feature must occur in so many sampled texts
@@ -144,6 +146,7 @@ def _hashes_column(text: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> OrdinalModel:
     """Fit on a bounded sample: at most ``max_per_class`` rows of each label reach the driver."""
+    ship(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.select("doc_id", "toxic").dropna().filter(fold != 0)
     sample = None
