@@ -7,10 +7,11 @@ task.  The same answers follow from the *distinct dates* of each team and the
 number of games on each date, which partial aggregation produces map-side:
 
 * next distinct date  -> back-to-backs and rest periods,
-* running game counts -> "n games within m days" stretches and game numbers.
+* running game counts -> "n games within m days" stretches.
 
-A team's distinct dates are bounded by the calendar, so every window below
-runs over a bounded partition regardless of how many games a team has.
+A team's distinct dates are bounded by the calendar, so every window over them
+runs over a bounded partition regardless of how many games a team has.  Game
+numbers come from one distributed sort (``number_within_key``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtline.session import checkpointed
+
 
 def dates_per_key(rows: DataFrame, key: str, date_col: str) -> DataFrame:
     """(key, d, m): distinct non-NULL dates of each key with their multiplicity.
@@ -101,25 +104,25 @@ def stretch_count(dated: DataFrame, key: str, n_games: int, days: int, out: str)
 
 
 def number_within_key(rows: DataFrame, key: str, date_col: str, tie: str, out: str) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY key ORDER BY date, tie) without a per-key window.
-
-    Games are first counted per (key, date); a running sum over a key's distinct
-    dates gives the offset of each date; the number within the date comes from
-    a window over (key, date).  NULL dates sort after all others: the date is
-    carried as (is-NULL flag, date with NULL filled) so that every join key is
-    a plain equality and the window's hash partitioning also serves the join.
+    """ROW_NUMBER() OVER (PARTITION BY key ORDER BY date, tie) without a window over the rows.
+
+    One distributed sort by (key, date, tie) puts the rows in order; NULL dates
+    sort after all others.  A row's ordered id (partition number and place in
+    the partition) is fixed by a checkpoint.  A key's rows of one partition are
+    consecutive, so their numbers are their distance to the first of them plus
+    the key's rows in the partitions before.  Those starts are one row per key
+    and partition that holds it, so a key with a third of all rows is spread
+    over a third of the tasks, also when all its rows share a date or have none.
+    ``tie`` should be unique within a key; rows with a NULL key drop out.
     """
-    d = F.to_date(F.col(date_col))
-    rows = (rows.withColumn("__dn", d.isNull())
-                .withColumn("__d", F.coalesce(d, F.lit("1970-01-01").cast("date"))))
-    day_keys = [key, "__dn", "__d"]
-    per_day = rows.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("__m"))
-    w_days = Window.partitionBy(key).orderBy("__dn", "__d")
-    offsets = per_day.withColumn(
-        "__off", F.coalesce(F.sum("__m").over(w_days.rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0).cast("long"))).drop("__m")
-    w_in_day = Window.partitionBy(*day_keys).orderBy(F.asc_nulls_last(tie))
-    numbered = rows.withColumn("__rn", F.row_number().over(w_in_day))
-    return (numbered.join(offsets, day_keys, "inner")
-                    .withColumn(out, (F.col("__off") + F.col("__rn")).cast("long"))
-                    .drop("__d", "__dn", "__off", "__rn"))
+    by = [F.asc(key), F.asc_nulls_last(F.to_date(F.col(date_col))), F.asc_nulls_last(tie)]
+    placed = checkpointed(rows.where(F.col(key).isNotNull()).orderBy(*by)
+                              .withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__pid", F.shiftright("__id", 33))
+    starts = placed.groupBy("__pid", key).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__pid")
+                               .rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select("__pid", key, (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return (placed.join(starts, ["__pid", key])
+                  .withColumn(out, (F.col("__id") + F.col("__shift")).cast("long"))
+                  .drop("__id", "__pid", "__shift"))

@@ -21,6 +21,21 @@ COACH = [(5, "purple"), (2.5, "red"), (0, "#d4af37"), (-2.5, "#228b22"), (-5, "#
 DEFAULT_COLOUR = "#006400"
 
 
+# the source-shaped tables once loaded and typed
+TYPED_GAMES = """
+SELECT o_orderkey AS game_id, o_custkey % 1000 AS home_id, o_orderkey % 1000 AS away_id,
+       CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 + 80 AS INTEGER) AS home_score,
+       CAST(CAST(floor(o_totalprice / 60) AS BIGINT) % 60 + 80 AS INTEGER) AS away_score,
+       strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS game_date
+FROM orders"""
+
+TYPED_AFFILIATES = """
+SELECT s_suppkey AS nba_teamid, right(s_name, 3) AS nba_abrv,
+       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_suppkey + 1612709000 END AS glg_teamid,
+       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE left(s_name, 3) END AS glg_abrv
+FROM supplier"""
+
+
 def sql_ratio(num: str, den: str) -> str:
     """num / den rounded to two places, half away from zero, exact; NULL where den is 0 or NULL."""
     n, d = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
@@ -307,17 +322,10 @@ FROM daily GROUP BY player_name, team"""),
         "stint_summary_team": _summary(f"SELECT * FROM summary WHERE team = '{COACH_TEAM}'"),
         "scatter_points": _summary("SELECT player_name AS label, team, games AS x, "
                                    "diff_avg_stint_length AS y FROM summary"),
-        "typed_game_schedule": """
-SELECT o_orderkey AS game_id, o_custkey % 1000 AS home_id, o_orderkey % 1000 AS away_id,
-       CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 + 80 AS INTEGER) AS home_score,
-       CAST(CAST(floor(o_totalprice / 60) AS BIGINT) % 60 + 80 AS INTEGER) AS away_score,
-       strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS game_date
-FROM orders""",
-        "typed_team_affiliate": """
-SELECT s_suppkey AS nba_teamid, right(s_name, 3) AS nba_abrv,
-       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_suppkey + 1612709000 END AS glg_teamid,
-       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE left(s_name, 3) END AS glg_abrv
-FROM supplier""",
+        "typed_game_schedule": TYPED_GAMES,
+        "json_load_games": TYPED_GAMES,
+        "typed_team_affiliate": TYPED_AFFILIATES,
+        "json_load_affiliates": TYPED_AFFILIATES,
         "affiliate_records": """
 SELECT '{"nba_teamid":' || s_suppkey || ',"nba_abrv":"' || right(s_name, 3) || '",' ||
        CASE WHEN s_nationkey % 5 = 0 THEN '"glg_teamid":null,"glg_abrv":null}'

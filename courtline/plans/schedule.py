@@ -4,7 +4,8 @@ Inputs are DataFrames in the schedule model:
   team(teamid, teamname, teamnickname)
   game_schedule(game_id, home_id, away_id, home_score, away_score, game_date)
 Nothing is collected.  ``team_standings`` and ``longest_rest`` checkpoint one
-small intermediate when called; all other results are lazy.
+small intermediate when called, ``game_numbers`` and the ``*_order`` queries the
+sorted rows; all other results are lazy.
 """
 
 from __future__ import annotations

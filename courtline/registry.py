@@ -6,14 +6,16 @@ Each function builds the schedule-model views over the driver tables of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courtline.operators import quality
 from courtline.plans import schedule, serving, stints
 from courtline.sources import ingest, schemas
-from courtline.session import checkpointed
+from courtline.session import checkpointed, scratch_path
 from courtline.sources.adapters import COACH_TEAM, Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +59,20 @@ def _summary(t: Tables) -> DataFrame:
     return stints.win_loss_summary(_durations(t, games), t.team(), games)
 
 
+def _json_round_trip(name: str, source: Callable[[Tables], DataFrame]) -> QueryFn:
+    """The JSON load end to end: a source-shaped table written as JSON lines, then loaded by ``load_tables``."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        place = scratch_path(spark, f"json-load/{uuid.uuid4().hex}")
+        rows = source(Tables(spark, sf_dir))
+        by_name = {c.lower(): c for c in rows.columns}
+        fields = schemas.SOURCE[name].names
+        (rows.select(*[F.col(by_name[f.lower()]).alias(f) for f in fields])
+             .write.json(f"{place}/in/{schemas.FILES[name]}"))
+        frames, _ = ingest.load_tables(spark, f"{place}/in", f"{place}/out", tables=[name])
+        return frames[name]
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "team_standings": _tg(schedule.team_standings),
@@ -86,6 +102,8 @@ def queries() -> dict[str, QueryFn]:
             ingest.lower_names(t.game_schedule_source()), schemas.TARGET["game_schedule"])),
         "typed_team_affiliate": _lu(lambda t: ingest.conform(
             ingest.lower_names(t.team_affiliate_source()), schemas.TARGET["team_affiliate"])),
+        "json_load_games": _json_round_trip("game_schedule", Tables.game_schedule_source),
+        "json_load_affiliates": _json_round_trip("team_affiliate", Tables.team_affiliate_source),
         "standings_order": _tg(schedule.standings_order),
         "calendar_order": _tg(schedule.calendar_order),
         "affiliate_records": _lu(lambda t: serving.json_rows(ingest.conform(

@@ -69,6 +69,25 @@ def test_number_within_key_equals_row_number(spark, hot):
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
 
 
+@pytest.mark.parametrize("when", [dt.datetime(2024, 1, 3), None])
+def test_number_within_key_with_one_date_or_none(spark, when):
+    """All games of one key on one date, or on no date, over several sort partitions."""
+    spread = [(10_000 + i, i % 3, dt.datetime(2024, 1, 1 + i % 5)) for i in range(60)]
+    hot = [(i, 7, when) for i in range(2000)]
+    g = spark.createDataFrame(spread + hot + [(50_000, None, when)],
+                              "game_id long, team_id long, game_date timestamp_ntz").repartition(5)
+    ours = density.number_within_key(g, "team_id", "game_date", "game_id", "n")
+    assert ours.columns.count("game_id") == 1 and not [c for c in ours.columns if c.startswith("__")]
+    w = Window.partitionBy("team_id").orderBy(F.asc_nulls_last(F.to_date("game_date")), "game_id")
+    plain = g.where("team_id IS NOT NULL").select("game_id", F.row_number().over(w).cast("long").alias("n"))
+    assert sorted(map(tuple, ours.select("game_id", "n").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_number_within_key_of_nothing(spark):
+    g = _games(spark, 6).limit(0)
+    assert density.number_within_key(g, "team_id", "game_date", "game_id", "n").count() == 0
+
+
 def test_driver_table_properties(spark):
     """SURVEY section 5 properties on the driver tables at sf0.01."""
     import __spark_entry__ as E
