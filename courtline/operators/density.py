@@ -73,10 +73,28 @@ def rest_candidates(dated: DataFrame, key: str) -> DataFrame:
                .where(F.col("next_game_date").isNotNull() & (F.col("copies") > 0)))
 
 
+COPIES_AT_ONCE = 1 << 16
+
+
 def expand_copies(df: DataFrame, copies: str = "copies") -> DataFrame:
-    """Repeat each row ``copies`` times (then drop the column)."""
-    return (df.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
-              .drop("__i", copies))
+    """Repeat each row ``copies`` times (then drop the column).
+
+    In two steps, so that no row ever holds an array of more than
+    ``COPIES_AT_ONCE`` numbers up to some four billion copies.
+    """
+    step = F.lit(COPIES_AT_ONCE).cast("long")
+    blocks = df.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                       F.floor((F.col(copies) - 1) / step).cast("long"))))
+    here = F.least(step, F.col(copies) - F.col("__b") * step)
+    return (blocks.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), here)))
+                  .drop("__i", "__b", copies))
+
+
+def longest_rests(candidates: DataFrame, key: str) -> DataFrame:
+    """The rest candidates at the maximum of their key (the window meets a key's distinct dates only)."""
+    most = F.max("rest_days").over(Window.partitionBy(key))
+    return (candidates.withColumn("__most", most)
+                      .where(F.col("rest_days") == F.col("__most")).drop("__most"))
 
 
 def stretch_count(dated: DataFrame, key: str, n_games: int, days: int, out: str) -> DataFrame:

@@ -131,8 +131,8 @@ def longest_rest(team: DataFrame, games: DataFrame) -> DataFrame:
     t = team.select(F.col("teamid").alias("team_id"), "teamname")
     rows = explode_teams(games.select("home_id", "away_id", "game_date"), out="team_id")
     dated = density.dates_per_key(rows, "team_id", "game_date").join(t.select("team_id"), "team_id")
-    # one row per team and day, read by the maximum and by the filter
-    cand = checkpointed(density.rest_candidates(dated, "team_id"))
+    # each team's longest rests only, read by the maximum and by the filter
+    cand = checkpointed(density.longest_rests(density.rest_candidates(dated, "team_id"), "team_id"))
     longest = cand.select(F.max("rest_days")).scalar()
     best = density.expand_copies(cand.where(F.col("rest_days") == longest))
     return (best.join(t, "team_id")

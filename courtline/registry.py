@@ -41,7 +41,7 @@ def _lineup_games(t: Tables) -> DataFrame:
     """The lineup games, computed once per query: an aggregate of the events
     table with one row per game (at most five per calendar day), read by the
     interval joins and again by the results; written once, events is scanned
-    once for it and its size is known exactly for the broadcast check."""
+    once for it and adaptive execution knows its size exactly."""
     return checkpointed(t.lineup_games())
 
 
@@ -88,7 +88,7 @@ def queries() -> dict[str, QueryFn]:
         "schedule_difficulty": _tg(schedule.schedule_difficulty),
         "opponent_difficulty": _tg(lambda t, g: schedule.opponent_difficulty(t, g, COACH_TEAM)),
         "lineup_wide": _lu(lambda t: stints.lineup_wide(t.lineup5(), t.part_player())),
-        "opponent_key_join": _lu(lambda t: stints.opponent_key_join(t.lineup(), t.lineup_games(), t.team())),
+        "opponent_key_join": _lu(lambda t: stints.opponent_key_join(t.lineup(), _lineup_games(t), t.team())),
         "stint_intervals": _lu(lambda t: stints.stint_intervals_table(_intervals(t))),
         "stint_results": _lu(lambda t: stints.stint_results(_intervals(t))),
         "stint_durations": _lu(lambda t: stints.stint_durations_table(_durations(t))),

@@ -83,6 +83,14 @@ def test_number_within_key_with_one_date_or_none(spark, when):
     assert sorted(map(tuple, ours.select("game_id", "n").collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_copies_expand_in_blocks(spark):
+    n = density.COPIES_AT_ONCE
+    rows = [("a", 1), ("b", n), ("c", n + 1), ("d", 2 * n + 5)]
+    out = density.expand_copies(spark.createDataFrame(rows, "k string, copies long"))
+    assert out.columns == ["k"]
+    assert dict(map(tuple, out.groupBy("k").count().collect())) == dict(rows)
+
+
 def test_number_within_key_of_nothing(spark):
     g = _games(spark, 6).limit(0)
     assert density.number_within_key(g, "team_id", "game_date", "game_id", "n").count() == 0
