@@ -8,8 +8,8 @@ of a suffix is the place of the least hash of a 32-byte tuple within its first
 400 bytes.  Like a difference cover, it makes two suffixes that agree on 400
 bytes meet in sampled positions at the same distance; unlike it, it samples one
 position in 140 and not two in three.  Sorting triples at two positions in three
-would shuffle at least 16 bytes for each, over ten times the text, for orders
-that a 400-byte question never asks for.
+shuffles five times the text (measured, compressed) before any recursion, for
+orders that a 400-byte question never asks for.
 
 1. Every suffix with 400 bytes left in its document has a sampled position at
    some distance d.  A sampled position's suffixes are cut into pieces of
