@@ -141,6 +141,29 @@ def test_one_group_larger_than_a_shard(spark):
     assert max(load.values()) < 1.1 * min(load.values())
 
 
+@pytest.mark.parametrize("share", [0.9, 1.0])
+def test_small_groups_of_nearly_all_bytes_stay_whole(spark, share):
+    rng = random.Random(5)
+    texts, n = [], 24_000
+    while len(texts) < share * n:
+        texts += [f"group {len(texts):08d} " + "x" * 80] * rng.randint(2, 20)
+    texts += [f"alone {i:08d} " + "x" * 80 for i in range(n - len(texts))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = sharding.shards_of(docs, 16).collect()
+    check_shards(rows, 16)
+    assert len(rows) == len(texts)
+    load, where = Counter(), defaultdict(set)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    mean = sum(load.values()) / 16
+    assert max(load.values()) < 1.005 * mean and min(load.values()) > 0.995 * mean
+    groups = [t for t in where if t.startswith("group")]
+    whole = sum(len(where[t]) == 1 for t in groups)
+    assert whole >= 0.999 * len(groups), f"{whole} of {len(groups)}"
+
+
 def test_pipeline_stages(spark, sf, odd_docs, no_docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
