@@ -181,6 +181,26 @@ def test_matches_equal_brute_force(spark, sf):
     assert {(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench, block_items=5).collect()} == set(want)
 
 
+def test_edits_gathered_in_one_part_of_an_item():
+    rng = np.random.default_rng(12)
+    for n in (50, 59, 100, 127, 160, 250):
+        d = n // 5
+        items = [(i, [f"w{x}" for x in rng.integers(0, 3000, n)]) for i in range(25)]
+        index = D.ItemIndex([(i, " ".join(w)) for i, w in items])
+        half, ends = n // 2, [*range(d // 2), *range(n - d + d // 2, n)]
+        for places in (range(0, 2 * d, 2), range(n - 2 * d, n, 2), range(d), ends,
+                       rng.choice(half, d, False), n - half + rng.choice(half, d, False)):
+            found = 0
+            for i, w in items:
+                edited = [f"new{k}" if k in set(map(int, places)) else x for k, x in enumerate(w)]
+                text = ["before"] * 9 + edited + ["after"] * 9
+                ids = np.array([index.vocab.get(x, 0) for x in text])
+                want = D.fitting_distance(index.items[i][1], ids)[0]
+                assert want <= d
+                found += (i, want) in [m[:2] for m in index.find(text)]
+            assert found == len(items), (n, list(places), found)
+
+
 def test_decontamination_on_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "the lazy dog and the dog being lazy"), (4, "!!")],
                                   "item_id long, text string")
