@@ -4,8 +4,11 @@ A page is read once, leniently, into text nodes with their root-to-leaf tag
 paths.  Per path the lengths and punctuation marks of its nodes are summed;
 both ratios (per node) are smoothed over the page's order of nodes, fused into
 one weight, and paths above a share of the page's mean weight are content.  The
-smallest element holding nearly all content characters is the article; what it
-holds is returned, so short headings and paragraphs between content paths stay.
+smallest element holding all content paths is the article, or all article and
+main elements if they hold most of the content; what they hold is returned, so
+short headings and paragraphs between content paths stay.  Blocks on content
+paths, and on pages without such elements headings and paragraphs that are no
+links, are returned from outside as well.
 Elements that by tag name or by class, id or role are menus, headers, footers,
 sidebars, notices, adverts, forms, comments or not text at all never count.
 
@@ -53,7 +56,7 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡\"“”()]")
 THRESHOLD = 0.25     # share of the mean fused weight that makes a path content
-COVER = 0.9          # share of the content characters that the article holds
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 
 
 class Node:
@@ -185,28 +188,37 @@ def main_text(page: str | None) -> str:
             for d, e in enumerate(n.elements):
                 chars[e] = chars.get(e, 0) + size
                 depth[e] = d
-    holders = [e for e, c in chars.items() if c >= COVER * total]
+    holders = [e for e, c in chars.items() if c == total]
     article = max(holders, key=depth.__getitem__) if holders else None
-    named = _named_article(shown, chars, total)
-    if named is not None:
-        article = named
-    elif article is not None:
+    named = _named_articles(shown, chars, total)
+    if not named and article is not None:
         article = _with_headings(shown, article)
     blocks: dict[int, list[str]] = {}
+    inside = named or {article}
+    held = {n.block for n in shown if article is None or not inside.isdisjoint(n.elements) or n.path in content
+            or (not named and _heading(n))}
     for n in nodes:
-        if article is None or article in n.elements:
+        if n.block in held:
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
-def _named_article(shown: list[Node], chars: dict[int, int], total: int) -> int | None:
-    """The outermost article or main element that holds most of the content, if any."""
+def _named_articles(shown: list[Node], chars: dict[int, int], total: int) -> set[int]:
+    """The outermost article and main elements, if they hold most of the content together."""
+    found = set()
     for n in shown:
         for name, e in zip(n.path.split("/"), n.elements):
-            if name in CONTENT and 2 * chars.get(e, 0) >= total:
-                return e
-    return None
+            if name in CONTENT:
+                found.add(e)
+                break
+    return found if 2 * sum(chars.get(e, 0) for e in found) >= total else set()
+
+
+def _heading(n: Node) -> bool:
+    """Whether a node is text of a heading or paragraph, and no link."""
+    names = n.path.split("/")
+    return "a" not in names and not HEADINGS.isdisjoint(names)
 
 
 HOLDERS = frozenset(("div", "section", "td", "body", "html", "blockquote", *CONTENT))

@@ -27,6 +27,28 @@ def test_layouts_without_an_article_element():
     assert H.main_text(page) == "Title\nHello, world. This is a long sentence, really.\nshort"
 
 
+LONG = "This is a long sentence, with commas and words, that says something. " * 12
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div><h1>Title</h1><p>Lead.</p><div>{LONG}</div></div>", f"Title\nLead.\n{LONG.strip()}"),
+    (f"<body><div><p>{LONG * 12}</p></div><div><p>{LONG}</p></div></body>",
+     f"{(LONG * 12).strip()}\n{LONG.strip()}"),
+    (f"<body><article><p>{LONG * 3}</p></article><article><p>{LONG * 2}</p></article></body>",
+     f"{(LONG * 3).strip()}\n{(LONG * 2).strip()}"),
+    (f"<table><tr><td><h2>Head</h2><blockquote>{LONG}</blockquote></td></tr></table>", f"Head\n{LONG.strip()}"),
+    (f"<body><ul class='menu'><li>a</li></ul><section><h2>One</h2><p>{LONG}</p></section>"
+     f"<section><h2>Two</h2><div>{LONG * 15}</div></section></body>",
+     f"One\n{LONG.strip()}\nTwo\n{(LONG * 15).strip()}"),
+])
+def test_nested_and_several_articles_lose_nothing(page, text):
+    assert main_text_lines(page) == text.split("\n")
+
+
+def main_text_lines(page):
+    return H.main_text(page).split("\n")
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", None, 5), (1, "u", None, 5), (2, None, "<article><p>x é</p></article>", 6), (None, "u", "", 7)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
