@@ -212,10 +212,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
-def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rate: float, times=None) -> None:
-    """One Adagrad step on a batch of tokens, each counted ``times``, against shared noise words."""
+def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rate: float) -> None:
+    """One Adagrad step on a batch of tokens against shared noise words."""
     r, q, bias, m1, m2 = par.parts()
-    v, n = par.size, len(w) if times is None else float(times.sum())
+    v, n = par.size, len(w)
     r1, r2 = r[c1], r[c2]
     h = r1 @ m1 + r2 @ m2
     qw, qn = q[w], q[noise]
@@ -223,9 +223,6 @@ def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rat
     down = h @ qn.T
     down += bias[noise] - log_kp[noise]
     down = _sigmoid(down)
-    if times is not None:
-        up *= times
-        down *= times[:, None]
     dh = up[:, None] * qw + down @ qn
     grad = np.zeros_like(par.table)
     gq = _scatter(w, np.concatenate([up[:, None] * h, up[:, None]], 1), v)
@@ -239,6 +236,15 @@ def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rat
     par.table -= rate * grad / (np.sqrt(squares) + 1e-6)
 
 
+def examples(classes: list[np.ndarray], rng: np.random.Generator) -> Iterator[tuple]:
+    """Every token with its two contexts, once, in batches of random order."""
+    w, c1, c2 = contexts(classes)
+    order = rng.permutation(len(w))
+    for a in range(0, len(w), BATCH):
+        at = order[a:a + BATCH]
+        yield w[at], c1[at], c2[at]
+
+
 def train(rows: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:
     """Rounds of local NCE over all learning tokens, averaged over tasks by tokens."""
     spark = rows.sparkSession
@@ -259,18 +265,10 @@ def train(rows: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Paramet
             ladder = np.cumsum(unigram)
             seen = 0
             for b in batches:
-                w, c1, c2 = contexts([np.frombuffer(c.as_py(), "<u2") for c in b.column(0)])
-                seen += len(w)
-                # equal tokens in equal contexts have equal gradients: one with its count
-                size = len(unigram)
-                triples, times = np.unique((w * size + c1) * size + c2, return_counts=True)
-                w, c1, c2 = triples // size ** 2, triples // size % size, triples % size
-                times = times.astype(np.float32)
-                order = rng.permutation(len(w))
-                for a in range(0, len(w), BATCH):
-                    at = order[a:a + BATCH]
+                for w, c1, c2 in examples([np.frombuffer(c.as_py(), "<u2") for c in b.column(0)], rng):
+                    seen += len(w)
                     noise = np.minimum(np.searchsorted(ladder, rng.random(NOISE)), len(unigram) - 1)
-                    nce_step(mine, squares, w[at], c1[at], c2[at], noise, log_kp, rate, times[at])
+                    nce_step(mine, squares, w, c1, c2, noise, log_kp, rate)
             if seen:
                 # what a task adds is its parameters times its tokens
                 out = mine.table.astype(np.float64) * seen

@@ -68,6 +68,13 @@ def test_nce_lowers_the_loss():
     assert lm_scoring.log_probabilities(par, w, c1, c2).mean() > before + 1
 
 
+def test_every_token_is_trained_however_repetitive():
+    classes = [np.tile(np.array([5, 6, 7], "<u2"), 3000)] * 4
+    got = list(lm_scoring.examples(classes, np.random.default_rng(0)))
+    assert sum(len(w) for w, _, _ in got) == 36_000
+    assert len(got) == -(-36_000 // lm_scoring.BATCH)
+
+
 def test_lm_on_an_empty_table(no_docs):
     assert lm_scoring.score(no_docs).count() == 0
 
