@@ -8,8 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import (decontamination, exact_dedup, html_text, lm_scoring, packing, quality, sharding,
-                           simhash, suffix_dedup, toxicity)
+from courtline.llm import (decontamination, exact_dedup, fill_in_middle, html_text, lm_scoring, packing, phrases,
+                           quality, sharding, simhash, statements, suffix_dedup, toxicity)
 from courtline.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -56,24 +56,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, QueryFn]:
     ops = (op1_tag_path_ratios, op2_suffix_dedup, op3_exact_dedup, op4_log_bilinear, op5_best_fit_packing,
-           op6_label_propagation, op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity)
+           op6_label_propagation, op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity,
+           op11_collocations, op12_fill_in_middle)
     return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP_SQL}
-
-
-EXACT_DEDUP_SQL = r"""
-WITH t AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
-  FROM documents)
-SELECT doc_id,
-       min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
-       count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept,
-       text_sha256
-FROM t
-"""
+    return {"op3_exact_dedup": statements.EXACT_DEDUP_SQL, "op11_collocations": statements.PHRASES_SQL,
+            "op12_fill_in_middle": statements.FILL_IN_MIDDLE_SQL}
