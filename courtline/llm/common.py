@@ -87,6 +87,16 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def spread_join(rows: DataFrame, single: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Inner join on ``key``, which ``single`` holds once and ``rows`` any number of times.
+
+    The rows of one key are dealt over ``salts`` tasks; ``single`` is sent to each.
+    """
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    copies = single.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"]).drop("__salt")
+
+
 def running_offsets(counts: DataFrame, part: list[str], order: list[str], n: str, out: str) -> DataFrame:
     """``counts`` with ``out`` = sum of ``n`` over the rows of the group before this one.
 

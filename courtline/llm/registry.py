@@ -8,8 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import (decontamination, exact_dedup, fill_in_middle, html_text, lm_scoring, packing, phrases,
-                           quality, sharding, simhash, statements, suffix_dedup, toxicity)
+from courtline.llm import (decontamination, embedding_dedup, exact_dedup, fill_in_middle, html_text, lm_scoring,
+                           packing, phrases, quality, sharding, simhash, statements, suffix_dedup, toxicity)
 from courtline.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -64,13 +64,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, QueryFn]:
     ops = (op1_tag_path_ratios, op2_suffix_dedup, op3_exact_dedup, op4_log_bilinear, op5_best_fit_packing,
            op6_label_propagation, op7_quality_voting, op8_simhash_near_dedup, op9_decontamination, op10_toxicity,
-           op11_collocations, op12_fill_in_middle)
+           op11_collocations, op12_fill_in_middle, op13_cap_filters)
     return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_exact_dedup": statements.EXACT_DEDUP_SQL, "op11_collocations": statements.PHRASES_SQL,
-            "op12_fill_in_middle": statements.FILL_IN_MIDDLE_SQL}
+            "op12_fill_in_middle": statements.FILL_IN_MIDDLE_SQL, "op13_cap_filters": statements.EMBEDDINGS_SQL}
