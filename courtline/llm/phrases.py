@@ -99,7 +99,7 @@ class Chunk:
 
     def phrases(self, rows: np.ndarray, length: int) -> list[bytes]:
         words = [self.names.take(pa.array(k[rows])) for k in self.keys[:length]]
-        return (words[0] if length == 1 else pc.binary_join_element_wise(*words, b" ")).to_pylist()
+        return (words[0] if length == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", self.names.type))).to_pylist()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
