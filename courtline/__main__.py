@@ -1,6 +1,6 @@
 """Command line: the start-up build and the dashboard data, as Spark jobs.
 
-  python -m courtline build  --data DIR --out DIR [--skip-failed] [--multi-line]
+  python -m courtline build  --data DIR --out DIR [--skip-failed] [--set-aside] [--multi-line]
   python -m courtline stints --out DIR --dest DIR [--team NAME]
   python -m courtline scout  --out DIR --dest DIR
   python -m courtline coach  --out DIR --dest DIR --team NAME
@@ -28,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--dest")
     ap.add_argument("--team")
     ap.add_argument("--skip-failed", action="store_true")
+    ap.add_argument("--set-aside", action="store_true", help="store bad records apart instead of failing")
     ap.add_argument("--multi-line", action="store_true", help="each JSON file is one document")
     ap.add_argument("--master")
     ap.add_argument("--cluster", action="store_true")
@@ -39,13 +40,13 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "build":
         frames, status = ingest.load_tables(spark, args.data, out_dir=tables_dir,
                                             skip_failed=args.skip_failed,
-                                            multi_line=args.multi_line)
+                                            multi_line=args.multi_line, set_aside=args.set_aside)
         status.show(truncate=False)
         for name, path in build.build_all(spark, frames, derived_dir).items():
             print(name, path)
         return
-    team = spark.read.parquet(os.path.join(tables_dir, "team"))
-    games = spark.read.parquet(os.path.join(tables_dir, "game_schedule"))
+    team = ingest.stored_rows(spark, tables_dir, "team")
+    games = ingest.stored_rows(spark, tables_dir, "game_schedule")
     summary = os.path.join(derived_dir, "final_summary")
     if args.command == "stints":
         result = serving.stint_data(spark, summary, args.team)

@@ -16,19 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from courtline.plans import schedule, stints
 from courtline.session import scratch_path
-from courtline.sources.ingest import replace_table
+from courtline.sources.ingest import read_table, replace_table
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the session's checkpoint folder and return the stored copy."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    replace_table(df, path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def build_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    """Build and write the derived tables; returns name -> path.
+    """Build and replace the derived tables in one step each; returns name -> folder of the new version.
 
     ``tables`` holds the typed model tables (team, game_schedule, player,
     lineup); an empty lineup yields empty lineup tables, as in the original.
@@ -38,9 +38,7 @@ def build_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str) -
     out: dict[str, str] = {}
 
     def save(df: DataFrame, name: str) -> None:
-        path = os.path.join(out_dir, name)
-        replace_table(df, path)
-        out[name] = path
+        out[name] = replace_table(df, os.path.join(out_dir, name))
 
     save(schedule.team_standings(team, games), "basic_queries")
     save(stints.lineup_wide(lineup, player), "wide_table")
@@ -55,11 +53,11 @@ def build_all(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str) -
 
 
 def register_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
-    """Expose stored tables (name -> path) as session views for SQL, e.g.
+    """Expose stored tables (name -> table or version folder) as session views for SQL, e.g.
     ``spark.sql("SELECT * FROM final_summary WHERE team = 'X'")``; filters on
     the views still push down into the Parquet scans."""
     for name, path in paths.items():
-        spark.read.parquet(path).createOrReplaceTempView(name)
+        read_table(spark, path).createOrReplaceTempView(name)
     return sorted(paths)
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtline.plans import schedule, stints
+from courtline.sources.ingest import read_table
+
 
 def stored_summary(spark: SparkSession, summary_path: str) -> DataFrame:
-    return spark.read.parquet(summary_path)
+    return read_table(spark, summary_path)
 
 
 def team_list(spark: SparkSession, summary_path: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -113,3 +115,21 @@ def checkpointed(df):
     """
     checkpoint_dir(df.sparkSession, create_local_if_unset=True)
     return df.checkpoint(eager=True)
+
+
+def ship_sources(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark application.
+
+    The sources go out as one small archive from the driver, so the package need
+    not be installed on, or on the Python path of, every machine.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_courtline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="courtline-")), "courtline-sources.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._courtline_shipped = True
