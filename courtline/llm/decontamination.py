@@ -41,6 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from courtline.llm.common import ship
 
@@ -249,14 +250,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE,
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = (f"doc_id {kinds[0]}, item_id {kinds[1]}, edit_distance int, item_words int, first_word long")
     out = spark.createDataFrame([], schema)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     for block in _blocks(benchmark, block_items, block_bytes):
         index = spark.sparkContext.broadcast(
             ItemIndex([(r["item_id"], r["text"]) for r in block.collect()], tolerance, recall))
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_finder(index), schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_finder(index, item_type), schema))
     return out
 
 
-def _finder(index):
+def _finder(index, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         size = {item_id: len(ids) for item_id, ids, _ in ix.items}
@@ -266,7 +268,7 @@ def _finder(index):
                 for item_id, dist, first in ix.find(words_of(text.as_py())):
                     rows.append((doc_id, item_id, dist, size[item_id], first))
             cols = list(zip(*rows)) if rows else [[]] * 5
-            types = (b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            types = (b.schema.field(0).type, item_type, pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, types)],
                 names=["doc_id", "item_id", "edit_distance", "item_words", "first_word"])

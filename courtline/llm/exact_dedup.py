@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import stored, text_or_empty
+from courtline.llm.common import stored, text_or_empty, unused
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 MIN_CHUNK = 1024
@@ -100,15 +100,16 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     repeats differ in other columns, which one is left open.
     """
     key = F.unhex(F.sha2(normalised(), 256))
+    id_, sha, digest = unused(docs, "__d", "__s", "__key")
     fate = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(
         F.sum(F.col("kept").cast("long")).alias("keep"), F.count(F.lit(1)).alias("n"))
     fate = stored(fate.filter("keep < n").select(
-        F.col("doc_id").alias("__d"), F.unhex("text_sha256").alias("__s"), "keep"), "exact-lost")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (key == F.col("__s"))
+        F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(sha), "keep"), "exact-lost")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(sha))
     rest = docs.join(fate.filter("keep = 0"), same, "left_anti")
     repeated = fate.filter("keep > 0")
     if repeated.isEmpty():
         return rest
-    once = (rest.join(repeated, same, "left_semi").withColumn("__key", key)
-            .dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    once = (rest.join(repeated, same, "left_semi").withColumn(digest, key)
+            .dropDuplicates(["doc_id", digest]).drop(digest))
     return rest.join(repeated, same, "left_anti").unionByName(once)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import connected_components, ship, stored
+from courtline.llm.common import connected_components, ship, stored, unused
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -152,8 +152,9 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS,
     comes before, leaves one of them).  Null doc_ids sort last.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "sha")
+    id_, digest = unused(docs, "__d", "__s")
     keep = (_grouped(docs, words_per_shingle, max_bits).groupBy("root").agg(F.min(order).alias("k"))
-            .select(F.col("k.doc_id").alias("__d"), F.col("k.sha").alias("__s")))
+            .select(F.col("k.doc_id").alias(id_), F.col("k.sha").alias(digest)))
     keep = stored(keep, "simhash-keep")
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__d")) & (sha == F.col("__s")), "left_semi")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (sha == F.col(digest)), "left_semi")

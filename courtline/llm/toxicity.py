@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
     # a repeated doc_id counts once, so the bound holds for the texts as well
     texts = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-             .select("doc_id", "toxic", _hashes_column(F.col("text")).alias("h"))
-             .groupBy("doc_id").agg(F.min_by("h", F.size("h")).alias("h"), F.first("toxic").alias("toxic")))
+             .select("doc_id", "toxic", F.xxhash64("text").alias("x"), _hashes_column(F.col("text")).alias("h"))
+             .groupBy("doc_id").agg(F.min_by("h", F.struct(F.size("h"), "x")).alias("h"), F.max("toxic").alias("toxic")))
     got = sorted(texts.toLocalIterator(), key=lambda r: r["doc_id"])
     if len({r["toxic"] for r in got}) < 2:
         return none

@@ -208,6 +208,21 @@ def test_edits_gathered_in_one_part_of_an_item():
             assert found == len(items), (n, list(places), found)
 
 
+def test_item_ids_of_any_type(spark):
+    text = "seven words that nobody else ever wrote"
+    docs = spark.createDataFrame([("d1", f"before {text} after"), ("d2", "nothing")], "doc_id string, text string")
+    items = spark.createDataFrame([("b-1", text), ("b-2", "absent from every document of this table")],
+                                  "item_id string, text string")
+    assert [tuple(r) for r in D.matches(docs, items).collect()] == [("d1", "b-1", 0, 7, 1)]
+
+
+def test_toxic_sample_does_not_depend_on_partitions(spark, sf, labels):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    twice = docs.unionByName(docs.withColumn("text", F.concat_ws(" ", F.reverse(F.split("text", " ")), F.lit("zz"))))
+    models = [toxicity.fit(twice.repartition(n, "text"), labels) for n in (2, 7)]
+    assert (models[0].features == models[1].features).all() and (models[0].weights == models[1].weights).all()
+
+
 def test_decontamination_on_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "the lazy dog and the dog being lazy"), (4, "!!")],
                                   "item_id long, text string")
