@@ -1,6 +1,8 @@
 """Driver contract: entry() runs; every registered query equals its oracle at sf0.001."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -62,3 +64,11 @@ def test_results_independent_of_zone_and_ansi(other_session_settings, con):
     bad = [n for n, fn in registry.queries().items()
            if not compare(spark, con, n, fn, E.oracle_sql()[n], SF)[0]]
     assert bad == []
+
+
+def test_model_queries_do_without_the_libraries_of_optional_parts():
+    code = ("import sys; sys.modules['xxhash'] = None\n"
+            "import __spark_entry__ as E; from courtline import registry\n"
+            "assert set(E.queries()) == set(registry.queries()) == set(E.oracle_sql())")
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={**os.environ, "PYTHONPATH": root})
