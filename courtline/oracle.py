@@ -36,6 +36,38 @@ SELECT s_suppkey AS nba_teamid, right(s_name, 3) AS nba_abrv,
 FROM supplier"""
 
 
+LOADED = {
+    "team": """
+SELECT s_suppkey AS teamid, s_name AS teamname, right(s_name, 3) AS teamnameshort,
+       'Club "' || s_nationkey || '" {a}, [b]' AS teamnickname,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'NBA' ELSE 'GLG' END AS leaguelk
+FROM supplier""",
+    "player": "SELECT c_custkey AS player_id, c_name AS first_name, c_mktsegment AS last_name FROM customer",
+    "roster": """
+SELECT CAST(c_nationkey AS BIGINT) AS team_id, c_custkey AS player_id, c_name AS first_name, c_mktsegment AS last_name,
+       left(c_mktsegment, 1) AS position, CASE WHEN c_acctbal < 0 THEN NULL ELSE 'Standard' END AS contract_type
+FROM customer""",
+}
+
+# what the load of the games with planted bad rows keeps, and what it sets aside
+GOOD_GAMES = f"SELECT * FROM ({TYPED_GAMES}) WHERE game_id % 97 <> 0 AND game_id % 89 <> 0"
+BAD_GAMES = """
+SELECT o_orderkey AS game_id,
+       CASE WHEN o_orderkey % 89 = 0 THEN 'not an object of the table''s types'
+            ELSE 'game_date: not a value of the table''s type' END AS reason
+FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0"""
+
+
+def _load_status() -> str:
+    """All six tables loaded with set-aside rows, then a second load that finds the games only."""
+    rows = {"team": "supplier", "team_affiliate": "supplier", "player": "customer", "lineup": "events",
+            "roster": "customer"}
+    kept = [f"""SELECT '{t}' AS "table", (SELECT count(*) FROM {source}) AS rows, CAST(0 AS BIGINT) AS quarantined,
+       CAST(1 AS BIGINT) AS version, 'kept' AS state""" for t, source in rows.items()]
+    games = """SELECT 'game_schedule', (SELECT count(*) FROM orders), 0, 2, 'loaded'"""
+    return "\nUNION ALL ".join([*kept, games])
+
+
 def sql_ratio(num: str, den: str) -> str:
     """num / den rounded to two places, half away from zero, exact; NULL where den is 0 or NULL."""
     n, d = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
@@ -326,6 +358,12 @@ FROM daily GROUP BY player_name, team"""),
         "json_load_games": TYPED_GAMES,
         "typed_team_affiliate": TYPED_AFFILIATES,
         "json_load_affiliates": TYPED_AFFILIATES,
+        **{f"json_load_{name}": sql for name, sql in LOADED.items()},
+        "json_load_lineup": with_views(
+            ["lineup"], "SELECT * REPLACE (CAST(lineup_num AS INTEGER) AS lineup_num) FROM lineup"),
+        "json_array_games": GOOD_GAMES,
+        "json_quarantine_games": BAD_GAMES,
+        "json_load_status": _load_status(),
         "affiliate_records": """
 SELECT '{"nba_teamid":' || s_suppkey || ',"nba_abrv":"' || right(s_name, 3) || '",' ||
        CASE WHEN s_nationkey % 5 = 0 THEN '"glg_teamid":null,"glg_abrv":null}'

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from courtline.operators import quality
 from courtline.plans import schedule, serving, stints
-from courtline.sources import ingest, schemas
+from courtline.sources import ingest, json_records, schemas
 from courtline.session import checkpointed, scratch_path
 from courtline.sources.adapters import COACH_TEAM, Tables
 
@@ -59,20 +59,62 @@ def _summary(t: Tables) -> DataFrame:
     return stints.win_loss_summary(_durations(t, games), t.team(), games)
 
 
+def _json_place(spark: SparkSession) -> str:
+    return scratch_path(spark, f"json-load/{uuid.uuid4().hex}")
+
+
+def _source_shaped(rows: DataFrame, name: str) -> DataFrame:
+    by_name = {c.lower(): c for c in rows.columns}
+    return rows.select(*[F.col(by_name[f.lower()]).alias(f) for f in schemas.SOURCE[name].names])
+
+
 def _json_round_trip(name: str, source: Callable[[Tables], DataFrame]) -> QueryFn:
     """The JSON load end to end: a source-shaped table written as JSON lines, then loaded by ``load_tables``."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        place = scratch_path(spark, f"json-load/{uuid.uuid4().hex}")
-        rows = source(Tables(spark, sf_dir))
-        by_name = {c.lower(): c for c in rows.columns}
-        fields = schemas.SOURCE[name].names
-        (rows.select(*[F.col(by_name[f.lower()]).alias(f) for f in fields])
-             .write.json(f"{place}/in/{schemas.FILES[name]}"))
+        place = _json_place(spark)
+        _source_shaped(source(Tables(spark, sf_dir)), name).write.json(f"{place}/in/{schemas.FILES[name]}")
         frames, _ = ingest.load_tables(spark, f"{place}/in", f"{place}/out", tables=[name])
         return frames[name]
     return run
 
 
+def _array_load(spark: SparkSession, sf_dir: str) -> str:
+    """The games, some of them bad, as pretty-printed arrays, loaded with the bad ones set aside."""
+    place = _json_place(spark)
+    games = _source_shaped(Tables(spark, sf_dir).games_source_with_bad_rows(), "game_schedule")
+    json_records.write_array(games, f"{place}/in/{schemas.FILES['game_schedule']}")
+    ingest.load_tables(spark, f"{place}/in", f"{place}/out", tables=["game_schedule"], set_aside=True)
+    return f"{place}/out"
+
+
+def json_array_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good rows of the array load, read through the committed version."""
+    return ingest.stored_rows(spark, _array_load(spark, sf_dir), "game_schedule")
+
+
+def json_quarantine_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad rows of the array load: the game and why it was set aside."""
+    return ingest.quarantine(spark, _array_load(spark, sf_dir), "game_schedule").select(
+        F.get_json_object("record", "$.game_id").cast("long").alias("game_id"), "reason")
+
+
+LOADS = {"team": Tables.team_source, "team_affiliate": Tables.team_affiliate_source,
+         "game_schedule": Tables.games_source_with_bad_rows, "player": Tables.player, "lineup": Tables.lineup,
+         "roster": Tables.roster_source}
+
+
+def json_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of a reload of six stored tables that finds the games only: the others keep their rows."""
+    place, t = _json_place(spark), Tables(spark, sf_dir)
+    for name, source in LOADS.items():
+        _source_shaped(source(t), name).write.json(f"{place}/in/{schemas.FILES[name]}")
+    ingest.load_tables(spark, f"{place}/in", f"{place}/out", set_aside=True)
+    _source_shaped(t.game_schedule_source(), "game_schedule").write.json(
+        f"{place}/again/{schemas.FILES['game_schedule']}")
+    _, status = ingest.load_tables(spark, f"{place}/again", f"{place}/out", set_aside=True, skip_failed=True)
+    return status.drop("error")
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "team_standings": _tg(schedule.team_standings),
@@ -104,6 +146,13 @@ def queries() -> dict[str, QueryFn]:
             ingest.lower_names(t.team_affiliate_source()), schemas.TARGET["team_affiliate"])),
         "json_load_games": _json_round_trip("game_schedule", Tables.game_schedule_source),
         "json_load_affiliates": _json_round_trip("team_affiliate", Tables.team_affiliate_source),
+        "json_load_team": _json_round_trip("team", Tables.team_source),
+        "json_load_player": _json_round_trip("player", Tables.player),
+        "json_load_lineup": _json_round_trip("lineup", Tables.lineup),
+        "json_load_roster": _json_round_trip("roster", Tables.roster_source),
+        "json_array_games": json_array_games,
+        "json_quarantine_games": json_quarantine_games,
+        "json_load_status": json_load_status,
         "standings_order": _tg(schedule.standings_order),
         "calendar_order": _tg(schedule.calendar_order),
         "affiliate_records": _lu(lambda t: serving.json_rows(ingest.conform(

@@ -127,6 +127,26 @@ class Tables:
             "ELSE CAST(s_suppkey + 1612709000 AS DOUBLE) END AS glg_teamId",
             "CASE WHEN pmod(s_nationkey, 5) = 0 THEN NULL ELSE substr(s_name, 1, 3) END AS glg_abrv")
 
+    def team_source(self) -> DataFrame:
+        return self.raw("supplier").selectExpr(
+            "s_suppkey AS teamId", "CASE WHEN pmod(s_suppkey, 2) = 0 THEN 'NBA' ELSE 'GLG' END AS leagueLk",
+            "s_name AS teamName", "substr(s_name, -3) AS teamNameShort",
+            "concat('Club \"', CAST(s_nationkey AS STRING), '\" {a}, [b]') AS teamNickname")
+
+    def roster_source(self) -> DataFrame:
+        return self.raw("customer").selectExpr(
+            "c_nationkey AS team_id", "c_custkey AS player_id", "c_name AS first_name",
+            "c_mktsegment AS last_name", "substr(c_mktsegment, 1, 1) AS position",
+            "CASE WHEN c_acctbal < 0 THEN NULL ELSE 'Standard' END AS contract_type")
+
+    def games_source_with_bad_rows(self) -> DataFrame:
+        """The games with a text that is no timestamp in every 97th and a score beyond the type in every 89th."""
+        good = self.game_schedule_source()
+        return good.withColumns({
+            "Game_Date": F.expr("CASE WHEN pmod(Game_Id, 97) = 0 THEN 'so}on, \"maybe\"' ELSE Game_Date END"),
+            "Home_Score": F.expr("CASE WHEN pmod(Game_Id, 89) = 0 THEN 99999999999 "
+                                 "ELSE CAST(Home_Score AS BIGINT) END")})
+
     def part_player(self) -> DataFrame:
         return self.raw("part").selectExpr(
             "p_partkey AS player_id", "p_name AS first_name", "p_brand AS last_name")
