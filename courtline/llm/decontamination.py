@@ -6,8 +6,9 @@ the item by edit distance on words.
 
 1. Count filter (no losses): an edit destroys at most two word bigrams, so the
    item-sized window at the start of a match keeps at least L - 1 - 2d of its
-   bigrams in the benchmark's bigram set.  Only such windows go on; running
-   sums find them for all window positions of the whole text.
+   bigrams in the bigram set of the items of its length class.  Only such
+   windows go on; running sums find them for all window positions of the whole
+   text, and a text with fewer such bigrams than a class needs skips the class.
 2. CGK embedding: a walk over the window repeats or advances at each step by a
    random bit drawn for (repeat, step, word), which turns an edit distance into
    a Hamming distance between walks.  Each repeat samples ``SAMPLED`` places of
@@ -102,7 +103,13 @@ class ItemIndex:
         self.repeats = repeats_for(recall)
         grams = [ids[:-1] * self.base + ids[1:] for _, ids, _ in self.items]
         self.item_grams = [frozenset(g.tolist()) for g in grams]
-        self.bigrams = np.unique(np.concatenate([*grams, np.zeros(0, np.int64)]))
+        self.bigrams, which = np.unique(np.concatenate([*grams, np.zeros(0, np.int64)]), return_inverse=True)
+        # the length classes that hold a bigram, one bit each
+        sizes = [len(ids).bit_length() - 1 for _, ids, _ in self.items]
+        bits = np.repeat(np.uint64(1) << np.array(sizes, np.uint64), [len(g) for g in grams])
+        self.holders = np.zeros(len(self.bigrams), np.uint64)
+        np.bitwise_or.at(self.holders, which, bits)
+        self.singles = np.unique([ids[0] for _, ids, _ in self.items if len(ids) == 1]).astype(np.int64)
         self.needs: dict[int, int] = {}      # window length -> bigrams that a window must keep
         self._walks: dict[int, tuple] = {}
         by_class: dict[int, list[int]] = defaultdict(list)
@@ -163,35 +170,46 @@ class ItemIndex:
         n = len(ids)
         if not n or not self.items:
             return []
-        hits = np.zeros(n, np.int64)
-        if len(self.bigrams):
-            known = ids > 0
-            pair = np.flatnonzero(known[:-1] & known[1:])
-            grams = ids[pair] * self.base + ids[pair + 1]
-            at = np.minimum(np.searchsorted(self.bigrams, grams), len(self.bigrams) - 1)
-            hits[pair[self.bigrams[at] == grams]] = 1
-        if hits.sum() < min(self.needs.values()):
-            return []
-        # both directions: the words and, by first word, the bigrams of the benchmark
-        ways = [(ids, hits), (ids[::-1].copy(), np.concatenate([hits[:-1][::-1], hits[-1:]]))]
+        at, classes = self._known_bigrams(ids)
+        back_ids = ids[::-1].copy()
         best: dict[int, tuple[int, int]] = {}
         for size, (tables, lengths) in self.classes.items():
+            least = min(self.needs[length] for length in lengths)
+            mine = at[(classes >> np.uint64(size.bit_length() - 1)) & np.uint64(1) > 0]
+            if len(mine) < least:
+                continue
+            # both directions: the words and, by first word, the bigrams of the class
+            hits = np.zeros(n, np.int64)
+            hits[mine] = 1
             pairs: set[tuple[int, int]] = set()
-            for back, ((way, marks), (keys, who)) in enumerate(zip(ways, tables)):
-                starts = self._starts(way, marks, lengths)
+            for back, (way, marks, (keys, who)) in enumerate((
+                    (ids, hits, tables[0]), (back_ids, np.concatenate([hits[:-1][::-1], hits[-1:]]), tables[1]))):
+                starts = self._starts(way, marks, lengths, least)
+                if not len(starts):          # a window kept from one end is kept from the other
+                    break
                 for a in range(0, len(starts), 4096):
                     met = self._meet(way, starts[a:a + 4096], size, keys, who)
                     pairs.update((i, max(0, n - s - len(self.items[i][1])) if back else s) for i, s in met)
             self._verify(ids, pairs, best)
         return [(self.items[i][0], d, s) for i, (d, s) in sorted(best.items())]
 
-    def _starts(self, ids: np.ndarray, hits: np.ndarray, lengths: list[int]) -> np.ndarray:
+    def _known_bigrams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the benchmark's bigrams begin, and the classes that hold each."""
+        known = ids > 0
+        pair = np.flatnonzero(known[:-1] & known[1:])
+        if not len(self.bigrams) or not len(pair):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        grams = ids[pair] * self.base + ids[pair + 1]
+        at = np.minimum(np.searchsorted(self.bigrams, grams), len(self.bigrams) - 1)
+        found = self.bigrams[at] == grams
+        return pair[found], self.holders[at[found]]
+
+    def _starts(self, ids: np.ndarray, hits: np.ndarray, lengths: list[int], least: int) -> np.ndarray:
         """First words of the windows that keep enough bigrams for an item of one of ``lengths``."""
         n = len(ids)
+        if least == 0:                       # one-word items
+            return np.flatnonzero(np.isin(ids, self.singles))
         total = np.concatenate([[0], np.cumsum(hits)])
-        least = min(self.needs[length] for length in lengths)
-        if least == 0:                       # one-word items, and two words unchanged
-            return np.flatnonzero(ids > 0)
         # first by the longest window and the least need
         ends = np.minimum(np.arange(n) + lengths[-1] - 1, n)
         starts = np.flatnonzero(total[ends] - total[:n] >= least)
