@@ -12,11 +12,12 @@ per document (the empty string stands for it in tables).
    multiplied with all class vectors.  Training is data-parallel: every task
    runs NCE over all its learning tokens from the common start, the results are
    averaged by tokens, and this is repeated ``ROUNDS`` times.
-4. Scoring takes batched matrix products over the distinct contexts of a batch
-   and normalises over all classes, so a document's score is a proper log10
-   probability.  Counts of the commonest tokens are broadcast (a fixed bound in
-   rows and token length); all other tokens, once per document and token, join
-   the stored counts.
+4. Scoring takes one matrix product for the normalisers of all pairs of
+   contexts, so a document's score is a proper log10 probability over all
+   classes.  Counts of the commonest tokens are broadcast (a fixed bound in rows
+   and token length); all other tokens, once per document and token, join the
+   stored counts.  The commonest are found from a histogram of counts, so the
+   driver gets the bound's rows, however many partitions hold them.
 
 Defined results: null and empty texts are one end token; a null doc_id hashes as
 the empty text (a learning document); with no learning documents all counts are
@@ -197,9 +198,12 @@ def contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    out = np.empty((size, values.shape[1]), np.float32)
-    for j in range(values.shape[1]):
-        out[:, j] = np.bincount(index, weights=values[:, j], minlength=size)
+    """Sums of the rows of ``values`` that have the same index."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")     # classes fit 16 bits
+    at = index[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
@@ -213,27 +217,38 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rate: float) -> None:
-    """One Adagrad step on a batch of tokens against shared noise words."""
-    r, q, bias, m1, m2 = par.parts()
+    """One Adagrad step on a batch of tokens against shared noise words.
+
+    Equal contexts share their products: vectors meet the position matrices once per class before they are dealt
+    to tokens, and gradients are summed per class before they meet them again.
+    """
+    r, q, bias, m1, m2 = (np.ascontiguousarray(x) for x in par.parts())
     v, n = par.size, len(w)
-    r1, r2 = r[c1], r[c2]
-    h = r1 @ m1 + r2 @ m2
+    h = (r @ m1)[c1]
+    h += (r @ m2)[c2]
     qw, qn = q[w], q[noise]
-    up = _sigmoid(np.einsum("ij,ij->i", h, qw) + (bias[w] - log_kp[w])) - 1
+    up = _sigmoid(np.einsum("ij,ij->i", h, qw) + (bias - log_kp)[w])[:, None]
+    up -= 1
     down = h @ qn.T
     down += bias[noise] - log_kp[noise]
     down = _sigmoid(down)
-    dh = up[:, None] * qw + down @ qn
+    dh = down @ qn
+    dh += np.multiply(up, qw, out=qw)
     grad = np.zeros_like(par.table)
-    gq = _scatter(w, np.concatenate([up[:, None] * h, up[:, None]], 1), v)
+    gq = grad[v:2 * v]
+    gq[:] = _scatter(w, np.concatenate([up * h, up], 1), v)
     np.add.at(gq, noise, np.concatenate([down.T @ h, down.sum(0)[:, None]], 1))
-    grad[v:2 * v] = gq
-    grad[:v, :DIM] = _scatter(c1, dh @ m1.T, v) + _scatter(c2, dh @ m2.T, v)
-    grad[2 * v:2 * v + DIM, :DIM] = r1.T @ dh
-    grad[2 * v + DIM:, :DIM] = r2.T @ dh
+    g1, g2 = _scatter(c1, dh, v), _scatter(c2, dh, v)
+    grad[:v, :DIM] = g1 @ m1.T + g2 @ m2.T
+    grad[2 * v:2 * v + DIM, :DIM] = r.T @ g1
+    grad[2 * v + DIM:, :DIM] = r.T @ g2
     grad /= n
     squares += grad * grad
-    par.table -= rate * grad / (np.sqrt(squares) + 1e-6)
+    grad *= rate
+    root = np.sqrt(squares)
+    root += 1e-6
+    grad /= root
+    par.table -= grad
 
 
 def examples(classes: list[np.ndarray], rng: np.random.Generator) -> Iterator[tuple]:
@@ -282,27 +297,27 @@ def train(rows: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Paramet
     return par
 
 
-def log_probabilities(par: Parameters, w: np.ndarray, c1: np.ndarray, c2: np.ndarray,
-                      block: int = 256) -> np.ndarray:
-    """Natural log probability of each class after its context, normalised over all classes."""
-    r, q, bias, m1, m2 = par.parts()
-    r1, r2 = r @ m1, r @ m2
-    pair, which = np.unique(c1 * par.size + c2, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    ordered = which[order]
-    out = np.empty(len(w))
-    for a in range(0, len(pair), block):
-        p = pair[a:a + block]
-        logits = (r1[p // par.size] + r2[p % par.size]) @ q.T
-        logits += bias
-        logits -= logits.max(axis=1, keepdims=True)
-        lo, hi = np.searchsorted(ordered, (a, a + len(p)))
-        at = order[lo:hi]
-        k = ordered[lo:hi] - a
-        mine = logits[k, w[at]]
-        np.exp(logits, out=logits)
-        out[at] = mine - np.log(logits.sum(axis=1))[k]
-    return out
+class Predictions:
+    """Natural log probabilities of classes after their contexts, normalised over all classes.
+
+    A logit is a sum of one term per context position and the class's bias, so the sum of exponentials over all
+    classes is a product of matrices: one product gives the normalisers of all pairs of contexts.
+    """
+
+    def __init__(self, par: Parameters):
+        r, q, bias, m1, m2 = (x.astype(np.float64) for x in par.parts())
+        self.first = (r @ m1) @ q.T + bias
+        self.second = (r @ m2) @ q.T
+        tops = self.first.max(axis=1), self.second.max(axis=1)
+        sums = np.exp(self.first - tops[0][:, None]) @ np.exp(self.second - tops[1][:, None]).T
+        with np.errstate(divide="ignore"):
+            self.log_sums = np.log(sums) + tops[0][:, None] + tops[1][None, :]
+        # pairs whose terms are too far apart for the product of exponentials
+        for a, b in np.argwhere(sums < 1e-250):
+            self.log_sums[a, b] = np.logaddexp.reduce(self.first[a] + self.second[b])
+
+    def logs(self, w: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        return self.first[c1, w] + self.second[c2, w] - self.log_sums[c1, c2]
 
 
 def class_scores(rows: DataFrame, par: Parameters) -> DataFrame:
@@ -310,17 +325,42 @@ def class_scores(rows: DataFrame, par: Parameters) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(par)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Predictions(shared.value)
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 classes = [np.frombuffer(c.as_py(), "<u2") for c in part.column(1)]
-                logs = log_probabilities(shared.value, *contexts(classes))
+                logs = model.logs(*contexts(classes))
                 first = np.cumsum([0] + [len(c) for c in classes[:-1]])
                 sums = np.add.reduceat(logs, first) / math.log(10)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums)], names=["rid", "class_log"])
     return rows.select("rid", "classes").mapInArrow(run, "rid long, class_log double")
 
 
+def commonest(counts: DataFrame, k: int, chars: int, slots: int = 4096) -> list[tuple[str, int]]:
+    """At most ``k`` tokens of up to ``chars`` characters, commonest first, by token where counts are equal.
+
+    A histogram over 64 ranges per doubling of the count gives the last range that fits whole.  Of the range after
+    it, slots of token hashes are taken while they fit.  So nothing is sorted, the driver gets ``k`` tokens and two
+    histograms of bounded size; the result falls short of ``k`` by less than one slot.
+    """
+    short = counts.filter(F.length("token") <= chars)
+    level, slot = F.floor(F.log2("c") * 64), F.pmod(F.xxhash64("token"), F.lit(slots))
+    keep, room = F.lit(True), k
+    for n, size in sorted(map(tuple, short.groupBy(level.alias("n")).count().collect()), reverse=True):
+        if size > room:
+            sizes = dict(map(tuple, short.filter(level == n).groupBy(slot.alias("s")).count().collect()))
+            last = 0
+            while last < slots and sizes.get(last, 0) <= room:
+                room -= sizes.get(last, 0)
+                last += 1
+            keep = (level > n) | ((level == n) & (slot < last))
+            break
+        room -= size
+    rows = short.filter(keep).select("token", "c").collect()
+    return sorted(map(tuple, rows), key=lambda row: (-row[1], row[0]))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -328,8 +368,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(token_counts(docs), "lm-counts")
     sizes = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total, types = sum(r["n"] for r in sizes), sum(r["v"] for r in sizes)
-    common = [tuple(r) for r in counts.filter(F.length("token") <= KNOWN_CHARS)
-              .orderBy(F.desc("c"), "token").select("token", "c").limit(KNOWN).collect()]
+    common = commonest(counts, KNOWN, KNOWN_CHARS)
     end = [c for t, c in counts.filter("token = ''").select("token", "c").collect()]
     vocab = Vocabulary(common, {r["class"]: (r["n"], r["v"]) for r in sizes}, end[0] if end else 0)
     shared = spark.sparkContext.broadcast(vocab)

@@ -37,7 +37,7 @@ def test_lm_probabilities_are_normalised():
     unigram = rng.random(50)
     par = lm_scoring.Parameters.start(unigram / unigram.sum())
     w = np.arange(50)
-    logs = lm_scoring.log_probabilities(par, w, np.full(50, 3), np.full(50, 7))
+    logs = lm_scoring.Predictions(par).logs(w, np.full(50, 3), np.full(50, 7))
     assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)
 
 
@@ -61,11 +61,98 @@ def test_nce_lowers_the_loss():
     squares = np.full(par.table.shape, 1e-4, np.float32)
     c1 = rng.integers(0, 20, 4000)
     w, c2 = (c1 + 1) % 20, rng.integers(0, 20, 4000)
-    before = lm_scoring.log_probabilities(par, w, c1, c2).mean()
+    before = lm_scoring.Predictions(par).logs(w, c1, c2).mean()
     for _ in range(120):
         lm_scoring.nce_step(par, squares, w, c1, c2, rng.integers(0, 20, 16),
                             np.log(16 * unigram).astype(np.float32), 0.1)
-    assert lm_scoring.log_probabilities(par, w, c1, c2).mean() > before + 1
+    assert lm_scoring.Predictions(par).logs(w, c1, c2).mean() > before + 1
+
+
+def plain_softmax(par, c1, c2):
+    r, q, bias, m1, m2 = (x.astype(float) for x in par.parts())
+    h = r[c1] @ m1 + r[c2] @ m2
+    logits = [float(h @ q[k] + bias[k]) for k in range(par.size)]
+    top = max(logits)
+    total = sum(math.exp(x - top) for x in logits)
+    return [x - top - math.log(total) for x in logits]
+
+
+@pytest.mark.parametrize("spread", [0.3, 40.0])
+def test_predictions_equal_a_plain_softmax(spread):
+    rng = np.random.default_rng(4)
+    par = lm_scoring.Parameters(rng.normal(0, spread, (2 * 12 + 2 * lm_scoring.DIM, lm_scoring.DIM + 1)), 12)
+    model = lm_scoring.Predictions(par)
+    for c1, c2 in [(0, 0), (3, 7), (11, 2), (5, 5)]:
+        got = model.logs(np.arange(12), np.full(12, c1), np.full(12, c2))
+        assert np.allclose(got, plain_softmax(par, c1, c2), rtol=1e-9, atol=1e-6)
+
+
+def test_one_step_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    size, d = 9, lm_scoring.DIM
+    table = rng.normal(0, 0.3, (2 * size + 2 * d, d + 1))
+    par = lm_scoring.Parameters(table, size)
+    w, c1, c2 = (rng.integers(0, size, 40) for _ in range(3))
+    noise, log_kp = rng.integers(0, size, 6), rng.normal(0, 0.2, size).astype(np.float32)
+    table = par.table.astype(float)
+    grad = np.zeros_like(table)
+    m1, m2 = table[2 * size:2 * size + d, :d], table[2 * size + d:, :d]
+    for x, a, b in zip(w, c1, c2):
+        h = table[a, :d] @ m1 + table[b, :d] @ m2
+        for k, label in [(x, 1), *((y, 0) for y in noise)]:
+            z = h @ table[size + k, :d] + table[size + k, d] - log_kp[k]
+            e = 1 / (1 + math.exp(-z)) - label
+            grad[size + k, :d] += e * h
+            grad[size + k, d] += e
+            dh = e * table[size + k, :d]
+            grad[a, :d] += m1 @ dh
+            grad[b, :d] += m2 @ dh
+            grad[2 * size:2 * size + d, :d] += np.outer(table[a, :d], dh)
+            grad[2 * size + d:, :d] += np.outer(table[b, :d], dh)
+    grad /= len(w)
+    want = table - 0.1 * grad / (np.sqrt(1e-4 + grad * grad) + 1e-6)
+    lm_scoring.nce_step(par, np.full(table.shape, 1e-4, np.float32), w, c1, c2, noise, log_kp, 0.1)
+    assert np.allclose(par.table, want, atol=2e-5)
+
+
+def test_lm_score_equals_a_plain_loop(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 12")
+    trained, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: trained.append(train(*a)) or trained[0])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    rows = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b""] for r in docs.collect()}
+    counts = Counter(w for i, ws in rows.items() if fold(i, 7) != 2 for w in ws)
+    head = [b"", *[w for w, _ in sorted(counts.items(), key=lambda r: (-r[1], r[0])) if w][:lm_scoring.HEAD - 1]]
+    number = {w: i for i, w in enumerate(head)}
+    tail = {w: lm_scoring.tail_class(w.decode()) for ws in rows.values() for w in ws if w not in number}
+    sizes = Counter()
+    for w, c in counts.items():
+        if w in tail:
+            sizes[tail[w]] += c + 1
+    softmax = {}
+    for i, ws in rows.items():
+        want, before = 0.0, (0, 0)
+        for w in ws:
+            k = number[w] if w in number else lm_scoring.HEAD + tail[w]
+            if before not in softmax:
+                softmax[before] = plain_softmax(trained[0], *before)
+            want += softmax[before][k] / math.log(10)
+            if w in tail:
+                want += math.log10((counts[w] + 1) / (sizes[tail[w]] + 1))
+            before = (k, before[0])
+        assert math.isclose(got[i], want, rel_tol=1e-5)
+
+
+def test_commonest_tokens_need_no_sort(spark):
+    rows = [(f"t{i:04d}", 500 - i if i < 100 else 3) for i in range(1000)] + [("x" * 80, 9000)]
+    counts = spark.createDataFrame(rows, "token string, c long").repartition(7)
+    short = rows[:1000]
+    assert lm_scoring.commonest(counts, 5000, 64) == sorted(short, key=lambda r: (-r[1], r[0]))
+    for k in (100, 130, 1000):
+        got = lm_scoring.commonest(counts, k, 64)
+        assert got[:100] == short[:100] and k - 10 <= len(got) <= k and len(set(got)) == len(got)
+    assert 30 <= len(lm_scoring.commonest(counts, 40, 64)) <= 40
+    assert lm_scoring.commonest(counts.limit(0), 40, 64) == []
 
 
 def test_every_token_is_trained_however_repetitive():
