@@ -2,15 +2,20 @@
 
 A page is read once, leniently, into text nodes with their root-to-leaf tag
 paths.  Per path the lengths and punctuation marks of its nodes are summed;
-both ratios (per node) are smoothed over the page's order of nodes, fused into
-one weight, and paths above a share of the page's mean weight are content.  The
-smallest element holding all content paths is the article, or all article and
-main elements if they hold most of the content; what they hold is returned, so
-short headings and paragraphs between content paths stay.  Blocks on content
-paths, and on pages without such elements headings and paragraphs that are no
-links, are returned from outside as well.
+both ratios (per node) are smoothed over the page's order of nodes, fused with
+the path's own ratio into one weight, and paths above a share of the page's mean
+weight are content.  What is returned follows from these paths alone:
+
+* every block on a content path;
+* what stands in an element most of whose text is on content paths: an article
+  or main element, an element that holds content blocks directly, or the smallest
+  one that holds all content.  Of the last, blocks of nothing but links go;
+* headings, with the paragraphs after them, that lead into such a block.
+
 Elements that by tag name or by class, id or role are menus, headers, footers,
-sidebars, notices, adverts, forms, comments or not text at all never count.
+sidebars, notices, adverts, forms, comments or not text at all never count.  A
+class names boilerplate if all its words do, or layout words beside them; in the
+latter case, comments apart, not if the element holds most of the page's text.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by one newline; empty blocks vanish.
@@ -43,43 +48,76 @@ BOILERPLATE = frozenset(
     "head nav footer aside form menu dialog button select svg math canvas audio video object label fieldset "
     "script style textarea title noscript iframe template xmp noembed noframes".split())
 CONTENT = frozenset("article main".split())
-# fixed values: words in class, id and role that name boilerplate
+# fixed values: words of a class, id or role that name boilerplate
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|"
-    r"nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget\w*|related|recommend\w*|"
-    r"share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|form|search|login|signup|subscribe|"
-    r"newsletter|pagination|pager|toolbar|contentinfo|complementary|navigation|skip)(?=$|[\s_-])", re.I)
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|nav\w*|menu\w*|"
+    r"breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|"
+    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|form|search|login|signup|subscribe|newsletter|pagination|"
+    r"pager|toolbar|contentinfo|complementary|navigation|skip", re.I)
+# fixed values: layout words that may stand beside them
+LAYOUT = frozenset(
+    "site page main global top bottom left right primary secondary box container wrapper wrap list section area "
+    "block bar slot unit item items inner outer links link buttons button holder panel text posts".split())
+TALK = re.compile(r"comments?|commentlist|disqus|repl(?:y|ies)|respond", re.I)
 TAG = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|$)"
+    # a quote that never ends: the tag ends at the next bracket
+    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?P<close2>>|$)", re.S)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡\"“”()]")
 THRESHOLD = 0.25     # share of the mean fused weight that makes a path content
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    """A run of text: its block, its tag path, its open elements and whether it is boilerplate."""
-
-    __slots__ = ("block", "path", "elements", "text", "out")
-
-    def __init__(self, block: int, path: str, elements: tuple, text: str, out: bool):
-        self.block, self.path, self.elements, self.text, self.out = block, path, elements, text, out
+    """A run of text: its block, its tag path, its open elements and whether it is boilerplate.
+
+    ``doubted`` has the elements whose class mixes layout words with boilerplate.
+    """
+
+    __slots__ = ("block", "path", "elements", "text", "out", "doubted")
+
+    def __init__(self, block: int, path: str, elements: tuple, text: str, out: bool, doubted: tuple):
+        self.block, self.path, self.elements, self.text = block, path, elements, text
+        self.out, self.doubted = out, doubted
+
+
+def boilerplate(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether its class gives reason to doubt it is not."""
+    if name in BOILERPLATE or (name == "header" and not in_article):
+        return True, False
+    if not attrs or name in ("html", "body"):
+        return False, False
+    values = {k.lower(): a or b or c for k, a, b, c in reversed(ATTR.findall(attrs))}
+    tokens = [t for k in ("class", "id", "role") for t in values.get(k, "").split()]
+    named = [words for t in tokens if (words := [w for w in re.split("[-_]+", t) if w])
+             and any(map(NAMED.fullmatch, words))
+             and all(NAMED.fullmatch(w) or w.lower() in LAYOUT for w in words)]
+    if any(any(map(TALK.fullmatch, words)) for words in named):
+        return True, False
+    if name in CONTENT:
+        return False, False
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or UNSEEN.search(values.get("style", "")):
+        return True, False
+    sure = any(all(map(NAMED.fullmatch, words)) for words in named)
+    return sure, bool(named) and not sure
 
 
 def text_nodes(page: str) -> list[Node]:
     """The text nodes of a page in order."""
     nodes: list[Node] = []
-    stack: list[tuple[str, int, bool]] = []      # name, element number, boilerplate from here on
-    path, elements, out = "", (), False
+    stack: list[tuple[str, int, bool, tuple]] = []   # name, element number, boilerplate and doubts from here on
+    path, elements, out, doubted = "", (), False, ()
     block = count = at = 0
 
     def moved() -> None:
-        nonlocal path, elements, out
+        nonlocal path, elements, out, doubted
         path = "/".join(s[0] for s in stack)
         elements = tuple(s[1] for s in stack)
         out = bool(stack) and stack[-1][2]
+        doubted = stack[-1][3] if stack else ()
 
     def close(k: int) -> None:
         del stack[k:]
@@ -87,7 +125,7 @@ def text_nodes(page: str) -> list[Node]:
 
     def text(a: int, z: int) -> None:
         if a < z:
-            nodes.append(Node(block, path, elements, page[a:z], out))
+            nodes.append(Node(block, path, elements, page[a:z], out, doubted))
 
     lower = None
     while True:
@@ -98,10 +136,10 @@ def text_nodes(page: str) -> list[Node]:
             break
         text(at, m.start())
         at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name or m.group(4) != ">":        # comment, declaration, or a tag cut off at the end
+        name = (m["name"] or m["name2"] or "").lower()
+        if not name or ">" not in (m["close"], m["close2"]):   # comment, declaration, or a tag cut off at the end
             continue
-        if m.group(1):                           # end tag
+        if m["end"] or m["end2"]:                # end tag
             if name in BLOCK:
                 block += 1
             for k in range(len(stack) - 1, -1, -1):
@@ -124,17 +162,12 @@ def text_nodes(page: str) -> list[Node]:
                         break
         if name in VOID:
             continue
-        attrs = m.group(3)
+        attrs = m["attrs"] or m["attrs2"] or ""
         if attrs.rstrip().endswith("/") and name not in BLOCK:
             continue
         count += 1
-        named = name in BOILERPLATE or (name == "header" and not any(s[0] in CONTENT for s in stack))
-        if not named and attrs and name not in ("html", "body", *CONTENT):
-            named = any(NAMED.search(a or b or c) for _, a, b, c in ATTR.findall(attrs)) or bool(HIDDEN.search(attrs))
-        elif not named and attrs and name in CONTENT:
-            named = any(re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", a or b or c, re.I)
-                        for _, a, b, c in ATTR.findall(attrs))
-        stack.append((name, count, out or named))
+        sure, doubt = boilerplate(name, attrs, any(s[0] in CONTENT for s in stack))
+        stack.append((name, count, out or sure, (*doubted, count) if doubt else doubted))
         moved()
         if name in RAW:                          # its content is no markup
             lower = page.lower() if lower is None else lower
@@ -161,8 +194,8 @@ def content_paths(nodes: list[Node]) -> set[str]:
     def smooth(x: np.ndarray) -> np.ndarray:
         return np.convolve(np.pad(x, 2, mode="edge"), kernel, mode="valid")
 
-    # fusion: a path of long text without punctuation keeps part of its weight
-    fused = smooth(ratio) * (0.25 + smooth(points) / (1 + smooth(points)))
+    # fusion: a short path beside long text stays light, and a path of long text without punctuation keeps a part
+    fused = np.sqrt(ratio * smooth(ratio)) * (0.25 + smooth(points) / (1 + smooth(points)))
     sums: dict[str, float] = {}
     for n, w in zip(nodes, fused):
         sums[n.path] = sums.get(n.path, 0.0) + float(w)
@@ -172,31 +205,13 @@ def content_paths(nodes: list[Node]) -> set[str]:
 
 def main_text(page: str | None) -> str:
     """The article's text, one line per block."""
-    nodes = text_nodes((page or "").replace("\x00", ""))
-    nodes = [n for n in nodes if not n.out]
+    nodes = [n for n in text_nodes((page or "").replace("\x00", "")) if not n.out]
+    nodes = _without_doubted(nodes)
     shown = [n for n in nodes if n.text.strip()]
     if not shown:
         return ""
-    content = content_paths(shown)
-    chars: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for n in shown:
-        if n.path in content:
-            size = len(n.text)
-            total += size
-            for d, e in enumerate(n.elements):
-                chars[e] = chars.get(e, 0) + size
-                depth[e] = d
-    holders = [e for e, c in chars.items() if c == total]
-    article = max(holders, key=depth.__getitem__) if holders else None
-    named = _named_articles(shown, chars, total)
-    if not named and article is not None:
-        article = _with_headings(shown, article)
+    held = content_blocks(shown, content_paths(shown))
     blocks: dict[int, list[str]] = {}
-    inside = named or {article}
-    held = {n.block for n in shown if article is None or not inside.isdisjoint(n.elements) or n.path in content
-            or (not named and _heading(n))}
     for n in nodes:
         if n.block in held:
             blocks.setdefault(n.block, []).append(n.text)
@@ -204,36 +219,62 @@ def main_text(page: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def _named_articles(shown: list[Node], chars: dict[int, int], total: int) -> set[int]:
-    """The outermost article and main elements, if they hold most of the content together."""
-    found = set()
+def _without_doubted(nodes: list[Node]) -> list[Node]:
+    """Without the elements of doubtful class that do not hold most of the page's text."""
+    size: dict[int, int] = {}
+    for n in nodes:
+        for e in n.doubted:
+            size[e] = size.get(e, 0) + len(n.text.strip())
+    if not size:
+        return nodes
+    total = sum(len(n.text.strip()) for n in nodes)
+    return [n for n in nodes if all(2 * size[e] > total for e in n.doubted)]
+
+
+def content_blocks(shown: list[Node], content: set[str]) -> set[int]:
+    """The blocks that the content paths select."""
+    full: dict[int, int] = {}        # characters in an element, and those of them on content paths
+    good: dict[int, int] = {}
+    depth: dict[int, int] = {}
+    names: dict[int, str] = {}
+    total = 0
+    direct: set[int] = set()         # elements that hold content blocks directly
     for n in shown:
-        for name, e in zip(n.path.split("/"), n.elements):
-            if name in CONTENT:
-                found.add(e)
-                break
-    return found if 2 * sum(chars.get(e, 0) for e in found) >= total else set()
-
-
-def _heading(n: Node) -> bool:
-    """Whether a node is text of a heading or paragraph, and no link."""
-    names = n.path.split("/")
-    return "a" not in names and not HEADINGS.isdisjoint(names)
-
-
-HOLDERS = frozenset(("div", "section", "td", "body", "html", "blockquote", *CONTENT))
-
-
-def _with_headings(shown: list[Node], article: int) -> int | None:
-    """The article, or what encloses it if that is a lone paragraph or heading; None: the whole page."""
+        size, on = len(n.text.strip()), n.path in content
+        total += size * on
+        holder = 0
+        for d, (name, e) in enumerate(zip(n.path.split("/"), n.elements)):
+            full[e] = full.get(e, 0) + size
+            good[e] = good.get(e, 0) + size * on
+            depth[e], names[e] = d, name
+            if name in HOLDERS:
+                holder = e
+        if on:
+            direct.add(holder)
+    common = [e for e, c in good.items() if c == total]
+    smallest = max(common, key=depth.__getitem__) if common and total else 0
+    whole = {e for e, name in names.items() if (name in CONTENT or e in direct) and name not in ROOTS
+             and 0 < full[e] <= 2 * good[e]}
+    if names.get(smallest, "body") in ROOTS or full[smallest] > 2 * good[smallest]:
+        smallest = 0
+    kept: set[int] = set()
+    leading: list[int] = []
     for n in shown:
-        if article in n.elements:
-            names = n.path.split("/")
-            k = n.elements.index(article)
-            while k >= 0 and names[k] not in HOLDERS:
-                k -= 1
-            return n.elements[k] if k >= 0 else None
-    return article
+        parts = n.path.split("/")
+        linked = "a" in parts
+        if (n.path in content or not whole.isdisjoint(n.elements)
+                or (smallest in n.elements and not linked)):
+            kept.update([n.block], leading)
+            leading = []
+        elif not linked and (not HEADINGS.isdisjoint(parts) or (leading and "p" in parts)):
+            leading.append(n.block)
+        elif n.block not in leading:
+            leading = []
+    return kept
+
+
+ROOTS = frozenset(("html", "body"))
+HOLDERS = frozenset(("div", "section", "td", "blockquote", *ROOTS, *CONTENT))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -55,3 +55,53 @@ def test_extract_keeps_every_page(spark):
     got = sorted(map(tuple, H.extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "x é", 3), (None, "u", "", 0)], key=str)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div style='overflow:hidden'><h1>T</h1><p>{LONG}</p></div>", f"T\n{LONG.strip()}"),
+    (f"<p title='no hidden fee'>{LONG}</p>", LONG.strip()),
+    (f"<div class='content no-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div class='page login-page'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<article><p>{LONG}</p><section class='related-work'><p>Rel.</p></section></article>", f"{LONG.strip()}\nRel."),
+    (f"<article><div class='article-header'><h1>Head</h1></div><p>{LONG}</p></article>", f"Head\n{LONG.strip()}"),
+    ("<article><p>x</p><p>tail <a href=\"x", "x\ntail"),
+    ("<p class=\"x>one</p><p>two</p>", "one\ntwo"),
+    (f"<body><div><p>{LONG}</p></div><p>Copyright 2024 ..</p></body>", LONG.strip()),
+    (f"<body><div><p>{LONG}</p></div><div class='login-box'>Sign in, please.</div></body>", LONG.strip()),
+    (f"<article><p>{LONG}</p><div class='comment-list'><p>{LONG * 4}</p></div></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p hidden>no</p><p style='display: none'>no</p><p aria-hidden='true'>no</p></article>",
+     LONG.strip()),
+])
+def test_attributes_and_ratios_decide(page, text):
+    assert H.main_text(page) == text
+
+
+def test_ratios_equal_a_plain_version():
+    page = f"<body><ul><li>a</li><li>b, c</li></ul><div><h2>T</h2><p>{LONG}</p><p>x.</p></div><p>(c) y</p></body>"
+    nodes = [n for n in H.text_nodes(page) if n.text.strip()]
+    ratio, points = [], []
+    for n in nodes:
+        same = [m for m in nodes if m.path == n.path]
+        ratio.append(sum(len(m.text.strip()) for m in same) / len(same))
+        points.append(sum(len(H.PUNCTUATION.findall(m.text)) for m in same) / len(same))
+
+    def smooth(x, i):
+        at = [min(max(i + d, 0), len(x) - 1) for d in (-2, -1, 0, 1, 2)]
+        return sum(x[j] * k for j, k in zip(at, (1, 2, 4, 2, 1))) / 10
+    fused = [(r * smooth(ratio, i)) ** 0.5 * (0.25 + smooth(points, i) / (1 + smooth(points, i)))
+             for i, r in enumerate(ratio)]
+    limit = H.THRESHOLD * sum(fused) / len(fused)
+    want = set()
+    for n in nodes:
+        mine = [f for f, m in zip(fused, nodes) if m.path == n.path]
+        if sum(mine) / len(mine) >= limit:
+            want.add(n.path)
+    assert H.content_paths(nodes) == want == {"body/div/p"}
+
+
+def test_other_paths_give_other_texts(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    texts, paths = [H.main_text(p) for p in pages], H.content_paths
+    for wrong in (lambda s: set(), lambda s: {n.path for n in s} - paths(s)):
+        monkeypatch.setattr(H, "content_paths", wrong)
+        assert sum(H.main_text(p) != t for p, t in zip(pages, texts)) > 0.9 * sum(map(bool, texts))
