@@ -351,6 +351,9 @@ FROM daily GROUP BY player_name, team"""),
         "win_loss_summary": _summary("SELECT * FROM summary"),
         "team_list": _summary("SELECT DISTINCT team FROM summary"),
         "stint_summary_all": _summary("SELECT * FROM summary"),
+        "sql_stint_summary": _summary(f"SELECT * FROM summary WHERE team = '{COACH_TEAM}'"),
+        "sql_stint_chart": _summary("SELECT player_name AS label, team, games AS x, "
+                                    "diff_avg_stint_length AS y FROM summary"),
         "stint_summary_team": _summary(f"SELECT * FROM summary WHERE team = '{COACH_TEAM}'"),
         "scatter_points": _summary("SELECT player_name AS label, team, games AS x, "
                                    "diff_avg_stint_length AS y FROM summary"),
@@ -402,6 +405,7 @@ def oracle_statements() -> dict[str, str]:
         "team_records": _team_records(),
         "schedule_difficulty": _schedule_difficulty(),
         "opponent_difficulty": _opponent_difficulty(),
+        "sql_coach_calendar": _opponent_difficulty(),
         "standings_order": f"""
 SELECT row_number() OVER (ORDER BY win_percentage DESC NULLS LAST, teamid) AS position, teamid, win_percentage
 FROM ({_standings()})""",

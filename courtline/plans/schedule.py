@@ -225,9 +225,10 @@ def _with_roles(games: DataFrame, recs: DataFrame) -> DataFrame:
                       "total_wins": "away_wins", "total_losses": "away_losses"})
 
 
-def event_records(df: DataFrame, diff_col: str, levels) -> DataFrame:
-    """Calendar events: title, start, allDay, difficulty, teams, game id, colour."""
+def event_records(df: DataFrame, diff_col: str, levels, *keep: str) -> DataFrame:
+    """Calendar events: title, start, allDay, difficulty, teams, game id, colour; before them the columns ``keep``."""
     return df.select(
+        *keep,
         event_title("home_team", "away_team", diff_col).alias("title"),
         iso_timestamp("game_date").alias("start"),
         F.lit(True).alias("allDay"),
@@ -260,6 +261,21 @@ def opponent_difficulty(team: DataFrame, games: DataFrame, team_name: str) -> Da
     return event_records(g.withColumn("opponent_difficulty", diff), "opponent_difficulty", COACH_LEVELS)
 
 
+def team_calendars(team: DataFrame, games: DataFrame) -> DataFrame:
+    """The coach view of every team at once: ``team_name``, then that team's events.
+
+    ``home_name`` and ``away_name`` stay, so a filter on both teams' names meets the games before they are
+    dealt to their teams.  A game between equal names is one event of that name, seen from the home side.
+    """
+    g = _with_roles(games, _records_dim(team, games))
+    sides = F.array_distinct(F.array("home_name", "away_name"))
+    g = g.select("*", F.explode(sides).alias("team_name")).where(F.col("team_name").isNotNull())
+    diff = F.when(F.col("home_name") == F.col("team_name"), F.col("away_wins") - F.col("away_losses")) \
+            .otherwise(F.col("home_wins") - F.col("home_losses"))
+    return event_records(g.withColumn("opponent_difficulty", diff), "opponent_difficulty", COACH_LEVELS,
+                         "team_name", "home_name", "away_name")
+
+
 def calendar(events: DataFrame) -> DataFrame:
     """Events in date order, as served to the calendar."""
     return events.orderBy(*_calendar_order())

@@ -241,6 +241,10 @@ def stint_summary(summary: DataFrame, team: str | None = None) -> DataFrame:
 
 def scatter_points(summary: DataFrame, team: str | None = None) -> DataFrame:
     """Chart points: x = games, y = win-minus-loss stint length, label = player."""
-    return stint_summary(summary, team).select(
+    return chart_columns(stint_summary(summary, team))
+
+
+def chart_columns(summary: DataFrame) -> DataFrame:
+    return summary.select(
         F.col("player_name").alias("label"), "team",
         F.col("games").alias("x"), F.col("diff_avg_stint_length").alias("y"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtline.operators import quality
-from courtline.plans import schedule, serving, stints
+from courtline.plans import schedule, serving, sql_functions, stints
 from courtline.sources import ingest, json_records, schemas
 from courtline.session import checkpointed, scratch_path
 from courtline.sources.adapters import COACH_TEAM, Tables
@@ -115,6 +115,25 @@ def json_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.drop("error")
 
 
+def sql_stint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One team's summary through the SQL table function, the team as a bound parameter."""
+    sql_functions.register_summary(spark, _summary(Tables(spark, sf_dir)))
+    return spark.sql("SELECT * FROM stint_summary(:team)", args={"team": COACH_TEAM})
+
+
+def sql_stint_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All teams' chart points through the SQL table function without its parameter."""
+    sql_functions.register_summary(spark, _summary(Tables(spark, sf_dir)))
+    return spark.sql("SELECT * FROM stint_chart()")
+
+
+def sql_coach_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coach's calendar through the SQL table function."""
+    t = Tables(spark, sf_dir)
+    sql_functions.register_calendar(spark, t.team(), t.game_schedule())
+    return spark.sql("SELECT * FROM coach_calendar(:team)", args={"team": COACH_TEAM})
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "team_standings": _tg(schedule.team_standings),
@@ -137,6 +156,9 @@ def queries() -> dict[str, QueryFn]:
         "stint_averages": _lu(lambda t: stints.stint_averages(_durations(t))),
         "win_loss_summary": _lu(_summary),
         "team_list": _lu(lambda t: stints.team_list(_summary(t))),
+        "sql_stint_summary": sql_stint_summary,
+        "sql_stint_chart": sql_stint_chart,
+        "sql_coach_calendar": sql_coach_calendar,
         "stint_summary_all": _lu(lambda t: stints.stint_summary(_summary(t))),
         "stint_summary_team": _lu(lambda t: stints.stint_summary(_summary(t), COACH_TEAM)),
         "scatter_points": _lu(lambda t: stints.scatter_points(_summary(t))),
