@@ -295,6 +295,23 @@ def test_edits_gathered_in_one_part_of_an_item():
             assert found == len(items), (n, list(places), found)
 
 
+def test_every_length_class_finds_its_items():
+    rng = np.random.default_rng(8)
+    word = [f"v{i}" for i in range(300)]
+    items = [(n, " ".join(rng.choice(word, n))) for n in (1, 2, 3, 4, 5, 7, 8, 9, 16, 31, 40)]
+    index = D.ItemIndex(items)
+    assert index.find([]) == [] and index.find(["other"] * 50) == []
+    for n, text in items:
+        for around in (0, 1, 25):
+            noise = [f"z{k}" for k in range(around)]
+            found = {i: d for i, d, _ in index.find([*noise, *text.split(), *noise])}
+            assert found.get(n) == 0
+            plain = {i for i, t in items if D.fitting_distance(
+                np.array([index.vocab[w] for w in t.split()]),
+                np.array([index.vocab.get(w, 0) for w in [*noise, *text.split(), *noise]]))[0] <= int(0.2 * i)}
+            assert set(found) == plain
+
+
 def test_item_ids_of_any_type(spark):
     text = "seven words that nobody else ever wrote"
     docs = spark.createDataFrame([("d1", f"before {text} after"), ("d2", "nothing")], "doc_id string, text string")
