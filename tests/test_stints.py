@@ -118,3 +118,18 @@ def test_lineup_pivot_with_a_player_id_held_twice(spark):
     names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (4, "e")], "m int, name string")
     got = pivot_fixed_groups(rows, ["g"], "m", names, F.col("name"))
     assert [tuple(r) for r in got.collect()] == [(1, "a", "b", "c", "e", None)]
+
+
+def test_lineup_pivot_deals_its_rows_by_their_number(spark, monkeypatch):
+    """Twice the rows, twice the tasks; copies of a row, NULL keys and constant keys stay right."""
+    from courtline.operators import pivot
+    monkeypatch.setattr(pivot, "ROWS", 100, raising=False)
+    names = spark.createDataFrame([(m, f"n{m}") for m in range(5)], "m int, name string")
+    for groups in (200, 400):
+        rows = (spark.range(groups * 5).selectExpr("nullif(id div 5, 7) AS g", "1 AS h", "CAST(id % 5 AS INT) AS m")
+                .unionByName(spark.range(groups * 3).selectExpr("3L AS g", "1 AS h", "2 AS m")))
+        got = pivot.pivot_fixed_groups(rows, ["g", "h"], "m", names, F.col("name"))
+        assert got.rdd.getNumPartitions() == groups * 8 // 100
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == groups and set(rows) == {
+            (None if g == 7 else g, 1, "n0", "n1", "n2", "n3", "n4") for g in range(groups)}
