@@ -9,7 +9,8 @@ Whether a brace is text or structure depends on everything before it.  A first
 pass reads each range once and says what it does to the reader's state (inside
 a string or not, and how many objects are open) for both possible beginnings.
 These summaries, one row per range, are chained per file, which gives the true
-state and byte offset at each range's start.  The second pass cuts the records.
+state and byte offset at each range's start.  Lines need the offsets only, so
+their first pass sums lengths.  The second pass cuts the records.
 A record that runs over the end of a range is put together from its pieces, at
 most two per range and file.
 
@@ -26,7 +27,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,14 @@ def _summaries(fragments: DataFrame) -> DataFrame:
                                      "least0 long, end1 boolean, add1 long, least1 long")
 
 
+def _sizes(fragments: DataFrame) -> DataFrame:
+    """``_summaries`` where an end of line is structure wherever it stands: bytes only, and no state."""
+    none = [F.lit(v).alias(f"{n}{k}") for k in (0, 1) for n, v in (("end", False), ("add", 0), ("least", 0))]
+    return (fragments.groupBy("file", "start", "size")
+            .agg(F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("bytes"))
+            .select("file", "start", "size", "bytes", *none))
+
+
 def _starts(summaries: list) -> dict[tuple[str, int], tuple[int, bool, int, bool, int]]:
     """(file, start) -> byte offset, inside a string, open objects, last range of the file, its end."""
     out: dict = {}
@@ -211,26 +222,43 @@ def _put_together(pieces: DataFrame) -> DataFrame:
                         .alias("complete"))
 
 
+_SPACE = " \t\n\r\x0b\x0c"
+
+
 def _line_records(fragments: DataFrame, starts) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at = None, 0
         for b in batches:
-            rows = []
-            for file, start, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                                      b.column(3).cast(pa.binary()).to_pylist()):
-                if (file, start) != key:
-                    key = (file, start)
-                    at = starts.value[key][0]
-                text = v.strip()
-                if text:
-                    rows.append((file, at + v.index(text), text.decode("utf-8", "replace"),
-                                 text[:1] == b"{" and text[-1:] == b"}"))
-                at += len(v) + 1
-            if rows:
-                cols = list(zip(*rows))
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                                 names=["file", "position", "record", "complete"])
+            if not b.num_rows:
+                continue
+            file, begin, line = b.column(0), b.column(1), b.column(3)
+            ends = np.cumsum(pc.binary_length(line).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at_line = np.concatenate([[0], ends[:-1]])            # offsets in the batch, then in the file
+            new = np.flatnonzero(pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(begin[1:], begin[:-1]))
+                                 .to_numpy(zero_copy_only=False)) + 1
+            stops = [*new.tolist(), b.num_rows]
+            for a, z in zip([0, *stops], stops):
+                here = file[a].as_py(), begin[a].as_py()
+                if here != key:
+                    key, at = here, starts.value[here][0]
+                size = int(ends[z - 1] - at_line[a])
+                at_line[a:z] += at - int(at_line[a])
+                at += size
+            try:
+                line.validate(full=True)
+                left = pc.ascii_ltrim(line, characters=_SPACE)
+            except pa.ArrowInvalid:                               # bytes that are no UTF-8
+                raw = [v.lstrip() for v in line.cast(pa.binary()).to_pylist()]
+                lead = pc.subtract(pc.binary_length(line), pa.array([len(v) for v in raw], pa.int32()))
+                left = pa.array([v.decode("utf-8", "replace") for v in raw], pa.string())
+            else:
+                lead = pc.subtract(pc.binary_length(line), pc.binary_length(left))
+            text = pc.ascii_rtrim(left, characters=_SPACE)
+            rows = pa.RecordBatch.from_arrays(
+                [file, pa.array(at_line + lead.to_numpy(zero_copy_only=False)), text,
+                 pc.and_(pc.starts_with(text, "{"), pc.ends_with(text, "}"))],
+                names=["file", "position", "record", "complete"])
+            yield rows.filter(pc.greater(pc.binary_length(text), 0))
     return fragments.mapInArrow(run, RECORD_SCHEMA)
 
 
@@ -244,7 +272,8 @@ def read_records(spark: SparkSession, path: str, layout: str = "auto") -> DataFr
     if layout == "auto":
         layout = layout_of(spark, path)
     fragments = _fragments(spark, path, layout)
-    starts = spark.sparkContext.broadcast(_starts(_summaries(fragments).collect()))
+    summaries = _summaries(fragments) if layout == "array" else _sizes(fragments)
+    starts = spark.sparkContext.broadcast(_starts(summaries.collect()))
     if layout == "lines":
         return _line_records(fragments, starts)
     parts = _array_records(fragments, starts)

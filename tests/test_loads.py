@@ -169,3 +169,34 @@ def test_written_arrays_read_back(spark, tmp_path):
     json_records.write_array(df, str(tmp_path / "player.json"))
     got = ingest.good_rows(ingest.sort_out(spark, "player", str(tmp_path / "player.json")), "player")
     assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == rows
+
+
+# lines -------------------------------------------------------------------------
+
+def test_lines_need_no_reading_of_their_strings(spark, small_ranges, tmp_path, monkeypatch):
+    """Every line's place and text, over many ranges and files; the first pass only sums lengths."""
+    def unread(text, inside):
+        raise AssertionError("a line was scanned")
+    monkeypatch.setattr(json_records, "_summaries", unread)
+    rng = random.Random(4)
+    lines, want = {}, []
+    for name in ("a", "b"):
+        raw = b""
+        for i in range(200):
+            record = rng.choice([b"", b"   ", b'{"player_id": %d}' % i, "{\"first_name\": \"é€😀}\"}".encode(), b"{", b"}",
+                                 b"[1]", b'{"first_name": "\xff\xc3"}', b"{" + b"x" * rng.randint(0, 900) + b"}"])
+            lead = rng.choice([b"", b" ", b"\t \x0b\x0c"])
+            if record.strip():
+                want.append((len(raw) + len(lead), record.decode("utf-8", "replace"),
+                             record[:1] == b"{" and record[-1:] == b"}"))
+            raw += lead + record + rng.choice([b"", b"  \r", b"\x0c\t"]) + b"\n"
+        lines[name] = raw
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_bytes(raw)
+    records = json_records.read_records(spark, str(tmp_path / "in"), "lines")
+    assert records.rdd.getNumPartitions() > 5
+    got = records.collect()
+    assert sorted((r.position, r.record, r.complete) for r in got) == sorted(want)
+    for r in got:
+        text = lines[r.file.rsplit("/", 1)[1][0]][r.position:]
+        assert text.decode("utf-8", "replace").startswith(r.record)
