@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import ship, stored, text_or_empty
+from courtline.llm.common import ship, stored
 
 FOLDS, HELD_OUT = 7, 2
 HEAD = 960             # tokens that are classes of their own
@@ -49,7 +49,8 @@ BATCH = 4096
 ROUNDS = 2
 KNOWN = 65_536         # tokens whose counts are broadcast
 KNOWN_CHARS = 64       # longer tokens are never broadcast
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+HELD = 1 << 17         # distinct tokens that a task counts before it hands them on
+HELD_BYTES = 1 << 26   # and bytes of text
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -57,12 +58,36 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % FOLDS == HELD_OUT
 
 
+def _strings(words: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(words, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:                            # bytes that are no UTF-8
+        return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, c, class) over the learning documents; class is the token's tail class."""
-    words = F.split(F.translate(text_or_empty(), UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+")
-    words = F.concat(F.array_remove(words, ""), F.array(F.lit("")))
-    counts = (docs.filter(~held_out()).select(F.explode(words).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("c")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [_strings(list(held)), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()):
+                text = text.as_py() or b""
+                held.update(text.lower().split())
+                held[b""] += 1
+                size += len(text)
+                if len(held) > HELD or size > HELD_BYTES:
+                    yield out()
+                    held.clear()
+                    size = 0
+        if held:
+            yield out()
+    counts = (docs.filter(~held_out()).select("text").mapInArrow(run, "token string, n long")
+              .groupBy("token").agg(F.sum("n").alias("c")))
     ending = F.encode(F.right("token", F.lit(2)), "UTF-8")
     return counts.withColumn("class", (F.crc32(ending) % TAIL).cast("int"))
 
@@ -71,6 +96,11 @@ def tail_class(token: str) -> int:
     return zlib.crc32(token[-2:].encode()) % TAIL
 
 
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    return np.array([zlib.crc32(w[-2:]) % TAIL if w[-2:].isascii() else tail_class(w.decode("utf-8", "replace"))
+                     for w in words], np.int64)
+
+
 class Vocabulary:
     """The broadcast part: classes and counts of the commonest tokens, sizes of the tail classes."""
 
@@ -110,6 +140,9 @@ class Vocabulary:
         self.tail_logs = np.array([0.0 if r[2] is None else r[1] for r in rows])
         self.tail_sizes = np.array([r[2] or 0.0 for r in rows])
         self.counted = np.array([r[3] for r in rows], np.int64)
+        # one row of sums per known token, and a last one of zeros for number -1
+        self.sums = np.zeros((len(rows) + 1, 4))
+        self.sums[:-1] = np.column_stack([self.counted, self.logs, self.tail_logs, self.tail_sizes])
 
     def unigram(self) -> np.ndarray:
         n = np.concatenate([self.head_counts, self.tail_counts]) + 0.5
@@ -124,39 +157,45 @@ def encoded(docs: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            tokens, times, ends = [], [], [0]
-            for text in b.column(3).cast(pa.binary()):
-                words = (text.as_py() or b"").lower().split()
-                words.append(b"")
+        tail_log = np.array(vocab.tail_log)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                b = whole.slice(start, 500)
+                words: list[bytes] = []
+                ends = []
+                for text in b.column(3).cast(pa.binary()):
+                    words += (text.as_py() or b"").lower().split()
+                    words.append(b"")
+                    ends.append(len(words))
                 at = np.fromiter(map(vocab.number.get, words, repeat(-1)), np.int64, len(words))
+                stops = np.array(ends)
+                firsts = np.concatenate([[0], stops[:-1]])
+                sums = np.add.reduceat(vocab.sums.take(at, axis=0), firsts, axis=0)
                 classes = vocab.classes[at]
-                known = at[at >= 0]
-                tail_size = float(vocab.tail_sizes[known].sum())
-                other = np.flatnonzero(at < 0).tolist()
-                class_of: dict[bytes, int] = {}
-                for w, n in Counter([words[i] for i in other]).items():
-                    t = w.decode("utf-8", "replace")
-                    k = tail_class(t)
-                    class_of[w] = HEAD + k
-                    tail_size += n * vocab.tail_log[k]
-                    tokens.append(t)
-                    times.append(n)
-                classes[other] = [class_of[words[i]] for i in other]
-                ends.append(len(tokens))
-                for col, v in zip(cols, (len(words), classes.tobytes(), int(vocab.counted[known].sum()),
-                                         float(vocab.logs[known].sum()), float(vocab.tail_logs[known].sum()),
-                                         tail_size)):
-                    col.append(v)
-            rest = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()),
-                pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(times, pa.int64())], ["token", "n"]))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), *[pa.array(c, t) for c, t in zip(cols, kinds)], rest],
-                names=["rid", "doc_id", "held_out", "n_tokens", "classes", "known_n", "known_log", "tail_log",
-                       "tail_size", "rest"])
+                # the other tokens: their tail classes, and once per document
+                other = np.flatnonzero(at < 0)
+                names = [words[i] for i in other.tolist()]
+                tails = tail_classes(names)
+                classes[other] = HEAD + tails
+                bounds = np.searchsorted(other, stops)
+                doc = np.repeat(np.arange(len(ends)), np.diff(bounds, prepend=0))
+                sums[:, 3] += np.bincount(doc, tail_log[tails], len(ends))
+                tokens, times, lists, a = [], [], [0], 0
+                for z in bounds.tolist():
+                    once = Counter(names[a:z])
+                    tokens += once
+                    times += once.values()
+                    lists.append(len(tokens))
+                    a = z
+                rest = pa.ListArray.from_arrays(
+                    pa.array(lists, pa.int32()),
+                    pa.StructArray.from_arrays([_strings(tokens), pa.array(times, pa.int64())], ["token", "n"]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), b.column(2), pa.array(stops - firsts),
+                     pa.array([classes[i:j].tobytes() for i, j in zip(firsts.tolist(), ends)], pa.binary()),
+                     pa.array(sums[:, 0].astype(np.int64)), *[pa.array(sums[:, j].copy()) for j in (1, 2, 3)], rest],
+                    names=["rid", "doc_id", "held_out", "n_tokens", "classes", "known_n", "known_log", "tail_log",
+                           "tail_size", "rest"])
     return docs.select("rid", "doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
@@ -186,15 +225,14 @@ class Parameters:
 
 def contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, class before it, class before that) of all tokens; class 0 (end) stands before a text."""
-    w = np.concatenate([np.concatenate([[0, 0], c]) for c in classes]) if classes else np.zeros(2, np.int64)
-    w = w.astype(np.int64)
-    keep = np.ones(len(w), bool)
-    at = 0
-    for c in classes:
-        keep[at:at + 2] = False
-        at += len(c) + 2
-    keep = np.flatnonzero(keep) if classes else np.zeros(0, np.int64)
-    return w[keep], w[keep - 1], w[keep - 2]
+    sizes = np.array([len(c) for c in classes], np.int64)
+    w = np.concatenate([np.zeros(0, np.int64), *classes]).astype(np.int64)
+    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    c1, c2 = np.zeros_like(w), np.zeros_like(w)
+    c1[1:], c2[2:] = w[:-1], w[:-2]
+    c1[firsts] = c2[firsts] = 0
+    c2[firsts[sizes[sizes > 0] > 1] + 1] = 0
+    return w, c1, c2
 
 
 def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -203,7 +241,7 @@ def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     at = index[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     out = np.zeros((size, values.shape[1]), np.float32)
-    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
+    out[at[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -224,9 +262,9 @@ def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rat
     """
     r, q, bias, m1, m2 = (np.ascontiguousarray(x) for x in par.parts())
     v, n = par.size, len(w)
-    h = (r @ m1)[c1]
-    h += (r @ m2)[c2]
-    qw, qn = q[w], q[noise]
+    h = (r @ m1).take(c1, axis=0)
+    h += (r @ m2).take(c2, axis=0)
+    qw, qn = q.take(w, axis=0), q[noise]
     up = _sigmoid(np.einsum("ij,ij->i", h, qw) + (bias - log_kp)[w])[:, None]
     up -= 1
     down = h @ qn.T
@@ -253,11 +291,10 @@ def nce_step(par: Parameters, squares: np.ndarray, w, c1, c2, noise, log_kp, rat
 
 def examples(classes: list[np.ndarray], rng: np.random.Generator) -> Iterator[tuple]:
     """Every token with its two contexts, once, in batches of random order."""
-    w, c1, c2 = contexts(classes)
-    order = rng.permutation(len(w))
-    for a in range(0, len(w), BATCH):
-        at = order[a:a + BATCH]
-        yield w[at], c1[at], c2[at]
+    rows = np.stack(contexts(classes), 1).astype(np.uint16)        # classes fit 16 bits
+    order = rng.permutation(len(rows))
+    for a in range(0, len(rows), BATCH):
+        yield tuple(rows.take(order[a:a + BATCH], axis=0).T.astype(np.int64))
 
 
 def train(rows: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -335,3 +336,33 @@ def test_decontamination_on_odd_rows(spark, odd_docs, no_docs):
     assert all("lazy dog" not in " ".join((r["text"] or "").split()) for r in left.collect())
     assert D.drop_contaminated(odd_docs, bench.limit(0)).count() == odd_docs.count()
     assert D.matches(no_docs, bench).count() == 0
+
+
+def test_token_counts_do_not_depend_on_when_they_are_handed_on(spark, monkeypatch):
+    texts = ["A b\x0bc D É é", None, "", "x" * 90 + " A a \x1f a", "b\tB\r\nb"] * 7
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter()
+    for i, text in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            plain = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+            want.update([w for w in re.split(r"[\x20\x09-\x0D]+", plain) if w] + [""])
+    for held, size in ((1 << 17, 1 << 26), (2, 1 << 26), (1 << 17, 5)):
+        monkeypatch.setattr(lm_scoring, "HELD", held, raising=False)
+        monkeypatch.setattr(lm_scoring, "HELD_BYTES", size, raising=False)
+        counts = lm_scoring.token_counts(docs)
+        assert "MapInArrow" in counts._jdf.queryExecution().executedPlan().toString()
+        got = counts.collect()
+        assert {r["token"]: r["c"] for r in got} == want and len(got) == len(want)
+        assert all(r["class"] == lm_scoring.tail_class(r["token"]) for r in got)
+
+
+def test_contexts_and_tail_classes_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 1024, n).astype("<u2") for n in (1, 2, 3, 40, 0, 1)]
+    want = [(int(c[i]), int(c[i - 1]) if i else 0, int(c[i - 2]) if i > 1 else 0) for c in texts for i in range(len(c))]
+    assert list(zip(*(x.tolist() for x in lm_scoring.contexts(texts)))) == want
+    got = [tuple(map(int, row)) for part in lm_scoring.examples(texts, np.random.default_rng(1)) for row in zip(*part)]
+    assert sorted(got) == sorted(want)
+    words = [b"a", b"abc", "né".encode(), "éa".encode(), b"\xff\xc3", b"x\xff"]
+    assert lm_scoring.tail_classes(words).tolist() == [
+        lm_scoring.tail_class(w.decode("utf-8", "replace")) for w in words]
