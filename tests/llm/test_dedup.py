@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from courtline.llm import exact_dedup, simhash, suffix_dedup
 
@@ -165,6 +168,56 @@ def test_samples_do_not_depend_on_slabs(monkeypatch):
     assert [x.tolist() for x in suffix_dedup.samples(text)] == whole
 
 
+def test_naming_long_texts_takes_little_memory(monkeypatch):
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+    monkeypatch.setattr(suffix_dedup, "_with_text", lambda *_: Caught())
+    run = suffix_dedup.prefix_names(None, None, 400, 100)
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=50_000)) for _ in range(10)]
+    asked = [[{"rid": rid, "start": s, "range": r, "open": n % 3 == 0}
+              for n, (s, r) in enumerate(zip(*suffix_dedup.text_pieces(t)[2:]))] for rid, t in enumerate(texts)]
+    kind = pa.list_(pa.struct([("rid", pa.int64()), ("start", pa.int64()), ("range", pa.int32()), ("open", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b"", *map(zstandard.ZstdCompressor().compress, texts)]), pa.array([[], *asked], kind)],
+        names=["packed", "asked"]).slice(1)
+    count = 0
+    tracemalloc.start()
+    for b in run([batch]):
+        count += b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == sum(len(t) - 399 for t in texts) and peak < 20e6
+    got = [r for b in run([batch]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = []
+    for text, mine in zip(texts, asked):
+        for r in mine:
+            low, high = divmod(r["range"], 100)
+            for i in range(r["start"] - high, r["start"] - low + 1):
+                name = xxhash.xxh3_128_digest(text[i:i + 400])
+                want.append((*(int.from_bytes(name[x:x + 8], "little", signed=True) for x in (0, 8)), r["rid"], i, r["open"]))
+    assert got == want
+
+
+def test_piece_batches_are_the_rows_however_cut(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abcd ", k=rng.choice((0, 50, 3000)))).decode() for _ in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(range(301)), pa.array(texts)],
+                                       names=["rid", "doc_id", "text"])
+    whole = pa.Table.from_batches(suffix_dedup.piece_batches(batch)).to_pylist()
+    monkeypatch.setattr(suffix_dedup, "_PIECES", 60)
+    cut = list(suffix_dedup.piece_batches(batch))
+    assert len(cut) > 20 and pa.Table.from_batches(cut).to_pylist() == whole
+    for r, text in zip(whole, texts):
+        raw = (text or "").encode()
+        assert (r["sha"], r["n_bytes"]) == (hashlib.sha256(raw).digest(), len(raw))
+        assert [r["core"], r["frame"], r["start"], r["range"]] == list(suffix_dedup.text_pieces(raw))
+
+
 def test_repeats_on_odd_rows(odd_docs, no_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     got = suffix_dedup.remove_repeats(odd_docs).collect()
