@@ -218,6 +218,17 @@ def test_piece_batches_are_the_rows_however_cut(monkeypatch):
         assert [r["core"], r["frame"], r["start"], r["range"]] == list(suffix_dedup.text_pieces(raw))
 
 
+def test_packed_batches_hold_every_text():
+    texts = [None, "", "é\u2028x" * 50, *(f"text {i} " * (i % 9) for i in range(600))]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(602)], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = list(suffix_dedup.packed_batches(batch))
+    assert max(b.num_rows for b in got) == 256
+    raw = [(t or "").encode() for t in texts]
+    rows = pa.Table.from_batches(got).to_pydict()
+    assert rows["__d"] == [None, *range(602)] and rows["__s"] == [hashlib.sha256(r).digest() for r in raw]
+    assert [zstandard.ZstdDecompressor().decompress(p) for p in rows["packed"]] == raw
+
+
 def test_repeats_on_odd_rows(odd_docs, no_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     got = suffix_dedup.remove_repeats(odd_docs).collect()
